@@ -10,6 +10,7 @@ from logharvest.functions.calls import is_config_call_of, reassign_library
 from logharvest.operators import calls as C
 from logharvest.operators import extraction as E
 from logharvest.operators.notebooks import flatten_notebooks
+from logharvest.session import stored
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +205,7 @@ _UNIQUE_SQL = CORPUS_SQL + f""", u AS (
 
 
 def unique_functions(spark, sf_dir):
-    lists = C.unique_functions(wanted(spark, sf_dir))
+    lists = C.unique_functions(stored(wanted(spark, sf_dir), "calls"))
     return lists.select(
         "library", "log_level", "unique_function_count",
         F.md5(F.array_join("snippet_ids", ";")).alias("ids_md5"),

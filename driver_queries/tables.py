@@ -1 +1,157 @@
-QUERIES = {}
+"""Sources and sinks: whole tables written to the shared folder and read back."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from driver_queries.base import CORPUS_SQL, table
+from driver_queries.code import parsed, wanted, summary_sql
+from logharvest.functions import text as X
+from logharvest.operators import calls as C
+from logharvest.operators import extraction as E
+from logharvest.schemas import FILTERED_FILE_CALLS
+from logharvest.session import stored, work_folder
+from logharvest.sources import code, documents, sinks, tables
+
+
+def csv_round_trip(spark, sf_dir):
+    """Texts with quotes, commas and line breaks through a headed CSV."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    path = work_folder(spark, "csv")
+    sinks.write_csv(docs, path)
+    back = tables.read_table_csv(spark, path, "doc_id BIGINT, lang STRING, text STRING")
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+_DOCUMENTS_SQL = "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents"
+
+
+def label_csv_round_trip(spark, sf_dir):
+    """The same with semicolons."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    path = work_folder(spark, "labels")
+    sinks.write_csv(docs, path, sep=";")
+    back = tables.read_table_csv(spark, path, "doc_id BIGINT, lang STRING, text STRING", sep=";")
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+def many_csv(spark, sf_dir):
+    """Two headers, united by column name."""
+    base = work_folder(spark, "many")
+    sinks.write_csv(table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), f"{base}/one")
+    sinks.write_csv(table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("bigint").alias("nation"), F.col("s_name").alias("name")), f"{base}/two")
+    return tables.read_many_csv(spark, [f"{base}/one", f"{base}/two"]).withColumn("nation", F.col("nation").cast("bigint"))
+
+
+def catalogue_parquet(spark, sf_dir):
+    return tables.read_catalogue_parquet(spark, f"{sf_dir}/part.parquet")
+
+
+def json_round_trip(spark, sf_dir):
+    """Filtered records through JSON lines."""
+    path = work_folder(spark, "json")
+    sinks.write_json(C.filter_file_calls(E.build_call_dataset(parsed(spark, sf_dir))), path)
+    calls = E.explode_calls(spark.read.schema(FILTERED_FILE_CALLS).json(path))
+    return calls.select("snippet_id", "snippet", "library", F.md5("function").alias("function_md5"))
+
+
+def report_round_trip(spark, sf_dir):
+    path = work_folder(spark, "report")
+    sinks.write_report(C.summarize_calls(wanted(spark, sf_dir)), path)
+    return tables.read_table_csv(spark, path, "section STRING, key STRING, count BIGINT")
+
+
+def files_by_project(spark, sf_dir):
+    """Matched files written by project."""
+    path = work_folder(spark, "files")
+    sinks.write_files(E.files_with_calls(parsed(spark, sf_dir)), path)
+    back = spark.read.parquet(path)
+    return back.select("path", F.col("project_name").cast("string"), F.md5("content").alias("content_md5"))
+
+
+_FILES_SQL = CORPUS_SQL + """
+SELECT path, split_part(path, '/', 1) AS project_name, md5(content) AS content_md5
+FROM content WHERE doc_id IN (SELECT doc_id FROM calls)"""
+
+
+def id_lists(spark, sf_dir):
+    """Id lists joined for CSV and split again."""
+    lists = sinks.join_lists(C.unique_functions(stored(wanted(spark, sf_dir), "calls")))
+    return lists.select("library", "log_level", X.split_ids("snippet_ids").alias("snippet_id"))
+
+
+def _write_documents(records, path, opening, closing):
+    """One indented JSON document per partition, from one text per record."""
+    def document(batches):
+        # A record is held back until it is known whether a comma follows it.
+        previous, comma = opening, ""
+        for batch in batches:
+            for record in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [previous + comma]})
+                previous, comma = record, ","
+        yield pa.RecordBatch.from_pydict({"value": [previous, closing]})
+
+    records.mapInArrow(document, "value STRING").write.text(path)
+
+
+def _json_string(column):
+    """A text as a JSON string literal."""
+    return F.regexp_extract(F.to_json(F.struct(column.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def _fields(pad):
+    """Role and text of a turn as the indented body of a JSON object."""
+    return F.concat(
+        F.lit(f'{pad}"function": '), _json_string(F.col("role")),
+        F.lit(f',\n{pad}"llm_output": '), _json_string(F.col("text")))
+
+
+def json_array_records(spark, sf_dir):
+    """Conversations as indented arrays, as many files as partitions."""
+    turns = code.spread(table(spark, sf_dir, "conversations"))
+    body = F.concat(F.lit('    "conv_id": '), F.col("conv_id").cast("string"), F.lit(",\n"), _fields("    "))
+    path = work_folder(spark, "array")
+    _write_documents(turns.select(F.concat(F.lit("  {\n"), body, F.lit("\n  }"))), path, "[", "]")
+    back = documents.read_json_array(spark, path, "conv_id BIGINT, function STRING, llm_output STRING")
+    return back.select("conv_id", "function", F.md5("llm_output").alias("output_md5"))
+
+
+def json_map_entries(spark, sf_dir):
+    """The same as indented objects keyed by id."""
+    turns = code.spread(table(spark, sf_dir, "conversations"))
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    entry = F.concat(F.lit('  "'), key, F.lit('": {\n'), _fields("    "), F.lit("\n  }"))
+    path = work_folder(spark, "map")
+    _write_documents(turns.select(entry), path, "{", "}")
+    entries = documents.read_json_map(spark, path)
+    return entries.select("snippet_id", "function", F.md5("llm_output").alias("output_md5"))
+
+
+QUERIES = {
+    "csv_round_trip": (csv_round_trip, _DOCUMENTS_SQL),
+    "label_csv_round_trip": (label_csv_round_trip, _DOCUMENTS_SQL),
+    "many_csv": (
+        many_csv,
+        """SELECT c_name AS name, c_acctbal AS balance, NULL::BIGINT AS nation FROM customer
+           UNION ALL SELECT s_name, NULL, s_nationkey FROM supplier"""),
+    "catalogue_parquet": (catalogue_parquet, "SELECT * FROM part"),
+    "json_round_trip": (
+        json_round_trip,
+        CORPUS_SQL + "SELECT snippet_id, snippet, library, md5(function) AS function_md5 FROM wanted"),
+    "report_round_trip": (report_round_trip, summary_sql("library")),
+    "files_by_project": (files_by_project, _FILES_SQL),
+    "json_array_records": (
+        json_array_records,
+        "SELECT conv_id, role AS function, md5(text) AS output_md5 FROM conversations"),
+    "json_map_entries": (
+        json_map_entries,
+        "SELECT conv_id || '-' || turn AS snippet_id, role AS function, md5(text) AS output_md5 FROM conversations"),
+    "id_lists": (
+        id_lists,
+        CORPUS_SQL + """SELECT DISTINCT library,
+          CASE WHEN library = 'logging' THEN coalesce(nullif(regexp_extract(snippet, '^logging\\.([a-z]+)\\(', 1), ''), 'unknown') END AS log_level,
+          snippet_id FROM wanted"""),
+}

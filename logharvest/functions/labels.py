@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, functions as F
 
 from logharvest import dictionaries as D
@@ -39,11 +41,15 @@ TEMPLATES = {
 
 
 def build_prompt(function: Column | str, template: str = TEMPLATES["categories_or_new"]) -> Column:
-    """Fill ``{function}``; ``{{`` and ``}}`` in the template stand for braces."""
-    pieces = [p.replace("{{", "{").replace("}}", "}") for p in template.split("{function}")]
-    parts = [F.lit(pieces[0])]
-    for piece in pieces[1:]:
-        parts += [col(function), F.lit(piece)]
+    """Fill ``{function}``; the template is a Python format string, so ``{{`` and
+    ``}}`` stand for braces."""
+    parts = []
+    for literal, field, _, _ in Formatter().parse(template):
+        parts.append(F.lit(literal))
+        if field is not None:
+            if field != "function":
+                raise ValueError(f"unknown placeholder {{{field}}}")
+            parts.append(col(function))
     return F.concat(*parts)
 
 
