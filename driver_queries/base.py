@@ -12,13 +12,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logharvest.sources.code import spread
+from logharvest.operators.layout import computed_once, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with long texts, spread if it comes in fewer pieces than there are cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 # callee by (kind of file, length of the line modulo 8)
 CALLEES = {
     "general": ["logging.info", "logging.debug", "logging.warning", "logging.error",
@@ -61,7 +66,7 @@ def _choose(kind: Column, values: dict[str, str]) -> Column:
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, content)`` of the derived Python files."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     docs = docs.withColumn("kind", _kind())
     kind = F.col("kind")
     callees = None
@@ -91,7 +96,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"),
         F.col("doc_id").cast("string"), F.lit(".py"),
     )
-    return docs.select(path.alias("path"), content.alias("content"))
+    return computed_once(docs.withColumn("path", path), "content", content).select("path", "content")
 
 
 # -- the same in SQL -----------------------------------------------------------

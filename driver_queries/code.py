@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driver_queries.base import CORPUS_SQL, source_files, table
+from driver_queries.base import CORPUS_SQL, source_files, table, texts
 from logharvest.functions import text as X
 from logharvest.functions.calls import is_config_call_of, reassign_library
 from logharvest.operators import calls as C
@@ -235,7 +235,7 @@ def stripped_document_comments(spark, sf_dir):
     """Documents with a comment and a blank line before each of their lines:
     whatever stands in front of the first line that starts like an import goes."""
     lines = F.transform(F.split("text", "\n"), lambda l: F.concat(F.lit("  # note\n\n"), l))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id",
         F.md5(X.strip_leading_comments(F.concat(F.array_join(lines, "\n"), F.lit("\n")))).alias("content_md5"),
     )
@@ -266,7 +266,7 @@ def source_segments(spark, sf_dir):
     last_col = F.octet_length(last) - F.octet_length(F.substring(last, -1, 1))
     first_col = F.octet_length(F.substring(F.get(lines, F.lit(0)), 1, 1))
     segment = X.source_segment(lines, F.lit(1), count, first_col, last_col)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(segment).alias("segment_md5"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.md5(segment).alias("segment_md5"))
 
 
 SEGMENT_SQL = """
@@ -275,7 +275,7 @@ SELECT doc_id, md5(substr(text, 2, length(text) - 2)) AS segment_md5 FROM docume
 
 def neighbour_lines(spark, sf_dir):
     """Line before and after each line of each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.source_lines("text").alias("lines"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", X.source_lines("text").alias("lines"))
     rows = docs.select("doc_id", "lines", F.posexplode("lines").alias("ix", "line"))
     number = F.col("ix") + 1
     return rows.select(
@@ -297,7 +297,7 @@ FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ix)"""
 
 
 def collapsed_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
         F.md5(X.collapse_whitespace("text")).alias("collapsed_md5"),
@@ -347,7 +347,7 @@ def flattened_notebooks(spark, sf_dir):
         ).alias("cells"),
         F.lit(4).alias("nbformat"),
     )
-    books = table(spark, sf_dir, "documents").select(
+    books = texts(spark, sf_dir, "documents").select(
         F.concat(F.lit("nb/"), F.col("doc_id").cast("string"), F.lit(".ipynb")).alias("path"),
         F.to_json(document).alias("content"),
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_queries.base import table
+from driver_queries.base import table, texts
 from logharvest.operators import catalogue as R
 from logharvest.operators import frameworks as M
-from logharvest.session import work_folder
+from logharvest.session import stored, work_folder
 from logharvest.sources import sinks
 from logharvest.streaming import scan
 
@@ -21,7 +21,7 @@ PATTERN = r"(?i)(^|[^A-Za-z0-9_]){}($|[^A-Za-z0-9_])"
 
 def files(spark, sf_dir):
     """Documents: one repository per source and language."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.concat_ws("/", "source", "lang").alias(R.KEY),
         F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"),
                  F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
@@ -69,7 +69,7 @@ def term_matches(spark, sf_dir):
 
 def page_matches(spark, sf_dir):
     """Terms in whole pages, the host being the repository."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = texts(spark, sf_dir, "pages").select(
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias(R.KEY),
         F.col("url").alias("path"), F.col("html").alias("content"))
     return _shown(M.first_match(pages, TERMS))
@@ -132,7 +132,7 @@ SELECT (SELECT count(DISTINCT repository_full_name) FROM f) AS repositories,
 
 def appended_matches(spark, sf_dir):
     """Matches appended language by language, then all again; keys stay unique."""
-    found = M.first_match(files(spark, sf_dir), TERMS)
+    found = stored(M.first_match(files(spark, sf_dir), TERMS), "found")
     path = work_folder(spark, "matches")
     for batch_id, part in enumerate([found.filter(F.col(R.KEY).endswith("/en")), found, found]):
         sinks.append_unique(part, path, R.KEY, batch_id)

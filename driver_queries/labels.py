@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_queries.base import table
+from driver_queries.base import table, texts
 from logharvest.functions import labels as L
 from logharvest.functions import text as X
 from logharvest.functions.matching import smell_label
@@ -14,7 +14,7 @@ TEMPLATE = "Look at {{this}}:\n{function}\nEnd of {{function}}."
 
 
 def prompts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("snippet_id"), F.col("text").alias("function"))
     return O.build_prompts(docs, TEMPLATE).select("snippet_id", F.md5("prompt").alias("prompt_md5"))
 
@@ -85,7 +85,7 @@ FROM e"""
 def smell_labels(spark, sf_dir):
     """Which of some words occurs in a text, the first of them winning."""
     words = ("Where", "THERE", "which", "sich")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", X.empty_bucket(smell_label("text", words)).alias("smell"))
 
 

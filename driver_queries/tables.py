@@ -10,9 +10,10 @@ from driver_queries.code import parsed, wanted, summary_sql
 from logharvest.functions import text as X
 from logharvest.operators import calls as C
 from logharvest.operators import extraction as E
+from logharvest.operators.layout import spread
 from logharvest.schemas import FILTERED_FILE_CALLS
 from logharvest.session import stored, work_folder
-from logharvest.sources import code, documents, sinks, tables
+from logharvest.sources import documents, sinks, tables
 
 
 def csv_round_trip(spark, sf_dir):
@@ -111,21 +112,21 @@ def _fields(pad):
 
 def json_array_records(spark, sf_dir):
     """Conversations as indented arrays, as many files as partitions."""
-    turns = code.spread(table(spark, sf_dir, "conversations"))
+    turns = spread(table(spark, sf_dir, "conversations"))
     body = F.concat(F.lit('    "conv_id": '), F.col("conv_id").cast("string"), F.lit(",\n"), _fields("    "))
     path = work_folder(spark, "array")
-    _write_documents(turns.select(F.concat(F.lit("  {\n"), body, F.lit("\n  }"))), path, "[", "]")
+    _write_documents(turns.select(F.concat(F.lit("  {\n"), body, F.lit("\n  }")).alias("value")), path, "[", "]")
     back = documents.read_json_array(spark, path, "conv_id BIGINT, function STRING, llm_output STRING")
     return back.select("conv_id", "function", F.md5("llm_output").alias("output_md5"))
 
 
 def json_map_entries(spark, sf_dir):
     """The same as indented objects keyed by id."""
-    turns = code.spread(table(spark, sf_dir, "conversations"))
+    turns = spread(table(spark, sf_dir, "conversations"))
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     entry = F.concat(F.lit('  "'), key, F.lit('": {\n'), _fields("    "), F.lit("\n  }"))
     path = work_folder(spark, "map")
-    _write_documents(turns.select(entry), path, "{", "}")
+    _write_documents(turns.select(entry.alias("value")), path, "{", "}")
     entries = documents.read_json_map(spark, path)
     return entries.select("snippet_id", "function", F.md5("llm_output").alias("output_md5"))
 

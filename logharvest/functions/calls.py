@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
 from logharvest import dictionaries as D
-from logharvest.functions.text import PY_SPACE, col, strip
+from logharvest.functions.text import PY_SPACE, col, lstrip
 
 
 def starts_with_any(c: Column, prefixes: Sequence[str]) -> Column:
-    """One anchored pattern for all prefixes, so each text is visited once."""
-    return c.rlike(r"\A(?:" + "|".join(java_quote(p) for p in prefixes) + ")")
+    """One anchored pattern for all prefixes, tried on as many characters as the
+    longest of them has: the cost does not depend on how long the text is."""
+    head = F.substring(c, 1, max(len(p) for p in prefixes))
+    return head.rlike(r"\A(?:" + "|".join(java_quote(p) for p in prefixes) + ")")
 
 
 def java_quote(text: str) -> str:
@@ -23,10 +27,16 @@ def java_quote(text: str) -> str:
 
 def log_level(snippet: Column | str, levels: Sequence[str] = D.LOG_LEVELS) -> Column:
     """Level of ``logging.<level>(``; null for any other text."""
-    # Longer names first: "warning" must not stop at "warn".
-    names = "|".join(sorted(levels, key=len, reverse=True))
-    found = F.regexp_extract(strip(snippet), rf"\Alogging\.({names})[{PY_SPACE}]*\(", 1)
-    return F.nullif(found, F.lit(""))
+    text = lstrip(snippet)
+    # Only the part up to the first bracket is looked at, however long the call.
+    name = F.substring_index(text, "(", 1)
+    found = F.regexp_extract(name, rf"\Alogging\.({_either(levels)})[{PY_SPACE}]*\z", 1)
+    return F.nullif(F.when(F.contains(text, F.lit("(")), found), F.lit(""))
+
+
+def _either(names: Sequence[str]) -> str:
+    """Longer names first, so that "warning" does not stop at "warn"."""
+    return "|".join(sorted(names, key=len, reverse=True))
 
 
 def library_type(
@@ -75,23 +85,25 @@ def reassign_library(
 
 
 def is_tf_summary(snippet: Column | str) -> Column:
-    return F.startswith(strip(snippet), F.lit("tf.summary"))
+    return F.startswith(lstrip(snippet), F.lit("tf.summary"))
 
 
 def is_tf_logging(snippet: Column | str) -> Column:
     """TensorFlow calls that do log: ``tf.summary…`` and the v1 logging module."""
-    levels = "|".join(sorted(D.TF_LOG_LEVELS, key=len, reverse=True))
-    v1 = strip(snippet).rlike(rf"\Atf\.compat\.v1\.logging\.(?:{levels})[{PY_SPACE}]*\(")
-    return is_tf_summary(snippet) | v1
+    text = lstrip(snippet)
+    name = F.substring_index(text, "(", 1)
+    v1 = name.rlike(rf"\Atf\.compat\.v1\.logging\.(?:{_either(D.TF_LOG_LEVELS)})[{PY_SPACE}]*\z")
+    is_v1 = F.startswith(text, F.lit("tf.compat.v1.logging.")) & F.contains(text, F.lit("(")) & v1
+    return is_tf_summary(snippet) | is_v1
 
 
 def is_tf_other(snippet: Column | str) -> Column:
-    return starts_with_any(strip(snippet), D.TF_OTHER_PREFIXES)
+    return starts_with_any(lstrip(snippet), D.TF_OTHER_PREFIXES)
 
 
 def is_config_call(snippet: Column | str, prefixes: Sequence[str] | None = None) -> Column:
     """Starts with a configuration prefix of any library."""
-    return starts_with_any(strip(snippet), prefixes or D.config_prefixes())
+    return starts_with_any(lstrip(snippet), prefixes or D.config_prefixes())
 
 
 def is_config_call_of(
@@ -100,12 +112,9 @@ def is_config_call_of(
     prefixes: Mapping[str, Sequence[str]] = D.CONFIG_PREFIXES,
 ) -> Column:
     """Starts with a configuration prefix of its own library."""
-    text, library = strip(snippet), col(library)
+    text, library = lstrip(snippet), col(library)
     hits = [(library == name) & starts_with_any(text, list(p)) for name, p in prefixes.items()]
-    found = F.lit(False)
-    for hit in hits:
-        found = found | hit
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(reduce(or_, hits), F.lit(False))
 
 
 def in_function(function_name: Column | str, function: Column | str) -> Column:

@@ -12,32 +12,30 @@ from logharvest.functions.text import col
 
 
 def term_pattern(term: str, mode: str = "file") -> str:
-    """Pattern for an import term.
+    """Pattern for an import term, to be searched in lower-cased text.
 
     ``file`` finds the term anywhere in the text, ``import`` only as the module
-    of an import statement. Words of a term may be in any quote-free spacing.
+    of an import statement. Words of a term may be any whitespace apart.
     """
-    body = r"\s+".join(java_quote(w) for w in term.split())
-    edge_left, edge_right = "(?:^|[^A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])"
+    body = r"\s+".join(java_quote(w) for w in term.lower().split())
     if mode == "file":
-        return f"(?i){edge_left}{body}{edge_right}"
+        return f"(?<![a-z0-9_]){body}(?![a-z0-9_])"
     if mode == "import":
-        return rf"(?im)^[ \t]*(?:import[ \t]+(?:[^#\n]*,[ \t]*)?|from[ \t]+){body}{edge_right}"
+        return rf"(?m)^[ \t]*(?:import[ \t]+(?:[^#\n]*,[ \t]*)?|from[ \t]+){body}(?![a-z0-9_])"
     raise ValueError(f"mode must be 'file' or 'import', not {mode!r}")
 
 
 def first_term(
-    text: Column | str,
+    lowered: Column | str,
     terms: Sequence[tuple[str, str]] = D.FRAMEWORK_TERMS,
     mode: str = "file",
 ) -> Column:
     """``struct(priority, framework, term)`` of the first term found, or null.
 
-    The chain stops at the first hit. Texts without any term, most of them in
-    a real corpus, are settled by the one combined pattern in front.
+    Takes lower-cased text. The chain stops at the first hit, and a pattern is
+    only tried where a plain substring search has found the term's first word.
     """
-    text = col(text)
-    any_term = "|".join(f"(?:{term_pattern(t, mode)})" for _, t in terms)
+    lowered = col(lowered)
     hit = None
     for priority, (framework, term) in enumerate(terms):
         value = F.struct(
@@ -45,9 +43,10 @@ def first_term(
             F.lit(framework).alias("framework"),
             F.lit(term).alias("term"),
         )
-        condition = text.rlike(term_pattern(term, mode))
-        hit = F.when(condition, value) if hit is None else hit.when(condition, value)
-    return F.when(text.rlike(any_term), hit)
+        word = term.lower().split()[0]
+        found = F.contains(lowered, F.lit(word)) & lowered.rlike(term_pattern(term, mode))
+        hit = F.when(found, value) if hit is None else hit.when(found, value)
+    return hit
 
 
 def smell_label(text: Column | str, smells: Sequence[str] = tuple(D.SMELLS)) -> Column:

@@ -6,9 +6,13 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# Characters Python's str.strip() removes, as the inside of a Java regex class.
+# Characters Python's str.strip() removes: as they are, as the inside of a Java
+# regex class, and the same class without the newline for use inside one line.
+SPACE_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 PY_SPACE = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# The same without the newline, for matching inside one line.
 PY_SPACE_IN_LINE = PY_SPACE.replace(r"\s", r" \t\x0b\f\r", 1)
 
 
@@ -17,8 +21,12 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Trim Python whitespace; Spark's ``trim`` only removes spaces."""
-    return F.regexp_replace(col(c), rf"\A[{PY_SPACE}]+|[{PY_SPACE}]+\z", "")
+    """Trim Python whitespace; Spark's plain ``trim`` only removes spaces."""
+    return F.btrim(col(c), F.lit(SPACE_CHARS))
+
+
+def lstrip(c: Column | str) -> Column:
+    return F.ltrim(col(c), F.lit(SPACE_CHARS))
 
 
 def collapse_whitespace(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ from logharvest import dictionaries as D
 from logharvest.functions import calls as C
 from logharvest.functions.text import strip
 from logharvest.operators.facts import facts_udf
+from logharvest.operators.layout import computed_once
 
 
 # -- filters ----------------------------------------------------------------
@@ -32,8 +33,11 @@ def filter_file_calls(file_calls: DataFrame, prefixes: Sequence[str] | None = No
         inside = C.in_function(s["context"]["function_name"], s["context"]["function"])
         return inside & C.is_wanted_call(s["snippet"], prefixes)
 
-    kept = file_calls.select("library", "library_type", F.filter("snippets", keep).alias("snippets"))
-    return kept.filter(F.size("snippets") > 0)
+    # Computed once, for the size test and for the result.
+    kept = computed_once(file_calls, "kept", F.filter("snippets", keep))
+    return kept.filter(F.size("kept") > 0).select(
+        "library", "library_type", F.col("kept").alias("snippets")
+    )
 
 
 # -- counts -----------------------------------------------------------------
@@ -81,16 +85,21 @@ def total_calls(calls: DataFrame) -> DataFrame:
     return calls.agg(F.count(F.lit(1)).alias("number_of_logging_statements"))
 
 
-def function_digest(function: Column | str) -> Column:
-    """What is shuffled in place of a function body when only equality matters."""
-    function = F.col(function) if isinstance(function, str) else function
-    return F.when(function != "", F.sha2(function, 256))
+def function_digest(calls: DataFrame, trimmed: bool = False) -> Column:
+    """What is compared and shuffled in place of a function body; null if empty.
+
+    Calls straight from the sources carry it; for stored calls it is computed.
+    """
+    ready = "trimmed_digest" if trimmed else "function_digest"
+    text = strip("function") if trimmed else F.col("function")
+    digest = F.col(ready) if ready in calls.columns else F.sha2(text, 256)
+    return F.when(F.col("function") != "", digest)
 
 
 def distinct_functions(calls: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct non-empty function bodies, compared as stored."""
     count = F.approx_count_distinct if approximate else F.count_distinct
-    return calls.agg(count(function_digest("function")).alias("number_of_functions"))
+    return calls.agg(count(function_digest(calls)).alias("number_of_functions"))
 
 
 def level_counts(calls: DataFrame) -> DataFrame:
@@ -113,6 +122,7 @@ def summarize_calls(calls: DataFrame, mode: str = "reference") -> DataFrame:
     """
     library = C.reassign_library("library", "library_type", "snippet", mode)
     level = F.when(library == "logging", C.log_level("snippet"))
+    digest = function_digest(calls)
 
     def row(section: str, key: Column) -> Column:
         return F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"))
@@ -120,7 +130,7 @@ def summarize_calls(calls: DataFrame, mode: str = "reference") -> DataFrame:
     facts = F.array(
         row("library", library),
         row("total", F.lit("number_of_logging_statements")),
-        F.when(F.col("function") != "", row("function", F.sha2("function", 256))),
+        F.when(digest.isNotNull(), row("function", digest)),
         F.when(level.isNotNull(), row("log_level", level)),
     )
     counted = (
@@ -149,7 +159,7 @@ def _grouped_calls(calls: DataFrame) -> DataFrame:
     )
     return calls.filter((F.col("function") != "") & (F.col("snippet_id") != "")).select(
         "library", level.alias("log_level"), "snippet_id",
-        F.sha2(strip("function"), 256).alias("digest"),
+        function_digest(calls, trimmed=True).alias("digest"),
     )
 
 

@@ -14,6 +14,7 @@ from logharvest import dictionaries as D
 from logharvest.functions import text as X
 from logharvest.functions.calls import java_quote, library_type
 from logharvest.operators.facts import PARSED, facts_udf
+from logharvest.operators.layout import computed_once
 
 
 def mentions_library(content: Column | str, libraries: Sequence[str] = D.LIBRARIES) -> Column:
@@ -32,7 +33,7 @@ def parse_files(
     root: str | None = None,
     keep_all: bool = False,
 ) -> DataFrame:
-    """Add ``lines`` and ``facts`` to ``(path, content, …)``.
+    """Add ``file_path``, ``project_name`` and ``facts`` to ``(path, content, …)``.
 
     Files that mention no library are dropped before they reach the parser,
     unless ``keep_all`` asks for a status of every file.
@@ -46,7 +47,6 @@ def parse_files(
         "*",
         relative.alias("file_path"),
         X.project("path", relative).alias("project_name"),
-        X.source_lines("content").alias("lines"),
         facts("content").alias("facts"),
     )
 
@@ -66,21 +66,22 @@ def _used_libraries() -> Column:
     return F.array_compact(named)
 
 
-def _snippet(call: Column, path: Column, lines: Column, functions: Column) -> dict[str, Column]:
+def _snippet(call: Column, path: Column, lines: Column) -> dict[str, Column]:
     """Columns of a call, from its facts and the lines of its file."""
-    owner = F.get(functions, call["function_ix"])
     return {
         "snippet_id": X.snippet_id(path, call["line"], call["text"]),
         "snippet": X.strip(call["text"]),
         "class": call["class_name"],
-        "function_name": owner["name"],
-        "function": X.line_span(lines, owner["first"], owner["last"]),
         "lines_before": X.line_before(lines, call["line"]),
         "lines_after": X.line_after(lines, call["line"], call["end_line"]),
         "line_number": call["line"],
     }
 
 
+def _function_text(function: Column, lines: Column) -> Column:
+    return X.line_span(lines, function["first"], function["last"])
+
+
 def with_libraries(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARIES,
                    libraries: Sequence[str] = D.LIBRARIES) -> DataFrame:
     """Add ``library`` (first used in the file) and ``library_type``; keep files with calls."""
@@ -95,14 +96,33 @@ def with_libraries(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARI
 
 def extract_calls(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARIES,
                   libraries: Sequence[str] = D.LIBRARIES) -> DataFrame:
-    """One row per call: file columns, ``library`` of the file, ``call_library`` of the call."""
-    exploded = with_libraries(parsed, general, libraries).select(
+    """One row per call: file columns, ``library`` of the file, ``call_library`` of the call.
+
+    ``function_digest`` and ``trimmed_digest`` identify the function's text, as
+    stored and trimmed. Texts and digests are built once per function, not once
+    per call in it, each in a column that is dropped where nobody reads it.
+    """
+    with_calls = computed_once(
+        with_libraries(parsed, general, libraries), "lines", X.source_lines("content"))
+    functions, lines = F.col("facts.functions"), F.col("lines")
+    texts = F.transform(functions, lambda f: _function_text(f, lines))
+    # Transformed from the facts again: a text held in a column and hashed from
+    # there would be built for both.
+    digests = F.transform(functions, lambda f: F.sha2(_function_text(f, lines), 256))
+    trimmed = F.transform(functions, lambda f: F.sha2(X.strip(_function_text(f, lines)), 256))
+    exploded = with_calls.select(
         "path", "file_path", "project_name", "library", "library_type", "lines",
-        F.col("facts.functions").alias("functions"),
+        F.col("facts.functions.name").alias("names"),
+        texts.alias("texts"), digests.alias("digests"), trimmed.alias("trimmed"),
         F.posexplode("facts.calls").alias("position", "call"),
     )
     call = F.col("call")
-    columns = _snippet(call, F.col("path"), F.col("lines"), F.col("functions"))
+    of_function = {
+        "function_name": "names", "function": "texts", "function_digest": "digests",
+        "trimmed_digest": "trimmed",
+    }
+    columns = _snippet(call, F.col("path"), F.col("lines"))
+    columns |= {name: F.get(F.col(c), call["function_ix"]) for name, c in of_function.items()}
     return exploded.select(
         X.file_id("path").alias("file_id"),
         "path", "file_path", "project_name", "library", "library_type", "position",
@@ -117,7 +137,9 @@ def build_call_dataset(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIB
     lines, functions = F.col("lines"), F.col("facts.functions")
 
     def nested(call: Column) -> Column:
-        c = _snippet(call, F.col("path"), lines, functions)
+        c = _snippet(call, F.col("path"), lines)
+        owner = F.get(functions, call["function_ix"])
+        c |= {"function_name": owner["name"], "function": _function_text(owner, lines)}
         context = ["class", "function_name", "function", "lines_before", "lines_after"]
         return F.struct(
             c["snippet_id"].alias("snippet_id"),
@@ -126,7 +148,9 @@ def build_call_dataset(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIB
             c["line_number"].alias("line_number"),
         )
 
-    return with_libraries(parsed, general, libraries).select(
+    with_calls = computed_once(
+        with_libraries(parsed, general, libraries), "lines", X.source_lines("content"))
+    return with_calls.select(
         X.file_id("path").alias("id"),
         "project_name",
         "file_path",

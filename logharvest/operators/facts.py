@@ -129,9 +129,8 @@ def file_facts(
 def facts_udf(modules: Sequence[str], absolute_only: bool = False, with_async: bool = False):
     """``udf(content) -> facts``, one Arrow batch at a time.
 
-    Marked non-deterministic on purpose: Catalyst then neither runs the parser
-    twice (once for a filter on its result, once for the projection) nor folds
-    the line split that is prepared beside it into per-call lambdas.
+    Marked non-deterministic on purpose: Catalyst would otherwise run the parser
+    twice, once for a filter on its result and once for the projection.
     """
     schema = T._parse_datatype_string(FILE_FACTS)
     arrow_type = to_arrow_type(schema)

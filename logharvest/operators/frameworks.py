@@ -28,11 +28,14 @@ def match_terms(
     """``(repository_full_name, path, priority, framework, term)``: the first term
     found in each file. Narrow: terms are compiled into the projection, so file
     texts are read once and never leave their task."""
-    return (
-        files.select(KEY, "path", first_term("content", terms, mode).alias("hit"))
-        .filter(F.col("hit").isNotNull())
-        .select(KEY, "path", "hit.*")
-    )
+    found = _hits(files, terms, mode).filter(F.col("hit").isNotNull())
+    return found.select(KEY, "path", "hit.*")
+
+
+def _hits(files: DataFrame, terms: Sequence[tuple[str, str]], mode: str) -> DataFrame:
+    # Lower-cased in a step of its own: once per file, not once per term.
+    lowered = files.select(KEY, "path", F.lower("content").alias("lowered"))
+    return lowered.select(KEY, "path", first_term("lowered", terms, mode).alias("hit"))
 
 
 def first_match(
@@ -46,8 +49,7 @@ def first_match(
     Only (name, priority, path) is shuffled, after a map-side minimum, so a
     repository with a third of all files costs its reducer one row per task.
     """
-    hit = first_term("content", terms, mode)
-    found = files.select(KEY, "path", hit.alias("hit"))
+    found = _hits(files, terms, mode)
     if not keep_unmatched:
         found = found.filter(F.col("hit").isNotNull())
     best = F.min(F.when(F.col("hit").isNotNull(), F.struct("hit.priority", "path", "hit"))).alias("best")

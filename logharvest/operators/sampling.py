@@ -57,15 +57,32 @@ def merge_strata(df: DataFrame, level: str = "log_level") -> DataFrame:
     return df.withColumn(level, F.when(lowered == "warn", "warning").otherwise(lowered))
 
 
-def _in_plan(plan: Plan, library: Column, level: Column) -> list[tuple[Column, int]]:
-    """(condition, quota) per stratum, in drawing order: warnings come first."""
+def _strata(plan: Plan) -> list[tuple[str, str | None, int]]:
+    """The plan in drawing order: warnings come first."""
     first = [p for p in plan if p[0] == "logging" and p[1] == "warning"]
-    rest = [p for p in plan if p not in first]
-    # A stratum without a level takes its library whatever the level.
-    return [
-        ((library == lib) if lvl is None else (library == lib) & (level == lvl.lower()), n)
-        for lib, lvl, n in first + rest
-    ]
+    return first + [p for p in plan if p not in first]
+
+
+def _stratum(strata: Plan, library: Column, level: Column) -> Column:
+    """Number of the first stratum a row belongs to, null outside the plan.
+
+    Looked up in a literal map, so level and library are evaluated once instead
+    of once per stratum. A stratum without a level takes its whole library.
+    """
+    def lookup(keys: list[tuple[str, int]], key: Column) -> Column:
+        if not keys:
+            return F.lit(None).cast("int")
+        literal = F.create_map(*[F.lit(x) for pair in keys for x in pair])
+        return F.try_element_at(literal, key)
+
+    numbered = list(enumerate(strata))
+    exact = [(f"{lib}|{lvl.lower()}", i) for i, (lib, lvl, _) in numbered if lvl is not None]
+    whole = [(lib, i) for i, (lib, lvl, _) in numbered if lvl is None]
+    return F.least(lookup(exact, F.concat(library, F.lit("|"), level)), lookup(whole, library))
+
+
+def _quota(strata: Plan, stratum: Column) -> Column:
+    return F.get(F.array(*[F.lit(n) for _, _, n in strata]), stratum)
 
 
 def stratified_sample(
@@ -77,13 +94,9 @@ def stratified_sample(
     An id found in several strata belongs to the first one, so the sample never
     holds an id twice.
     """
-    columns = ids.columns
+    columns, strata = ids.columns, _strata(plan)
     df = merge_strata(ids)
-    stratum, quota = None, None
-    for rank, (hit, n) in enumerate(_in_plan(plan, F.col("library"), F.col("log_level"))):
-        stratum = F.when(hit, rank) if stratum is None else stratum.when(hit, rank)
-        quota = F.when(F.col("__stratum") == rank, n) if quota is None else quota.when(
-            F.col("__stratum") == rank, n)
+    stratum = _stratum(strata, F.col("library"), F.col("log_level"))
     once = (
         df.withColumn("__stratum", stratum)
         .filter(F.col("__stratum").isNotNull())
@@ -93,14 +106,14 @@ def stratified_sample(
     )
     order = [sample_key(id_col, seed), F.col(id_col)]
     bound = max(n for _, _, n in plan)
+    quota = _quota(strata, F.col("__stratum"))
     return top_per_group(once, ["__stratum"], order, quota, bound).select(*columns)
 
 
 def quota_violations(sample: DataFrame, plan: Plan = tuple(D.SAMPLE_PLAN)) -> DataFrame:
     """Strata above their quota; empty for every sample drawn with the plan."""
-    limit = None
-    for hit, n in _in_plan(plan, F.col("library"), F.col("log_level")):
-        limit = F.when(hit, n) if limit is None else limit.when(hit, n)
+    strata = _strata(plan)
+    limit = _quota(strata, _stratum(strata, F.col("library"), F.col("log_level")))
     return (
         merge_strata(sample)
         .groupBy("library", "log_level")

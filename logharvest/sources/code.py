@@ -29,14 +29,3 @@ def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def read_notebook_tree(spark: SparkSession, root: str) -> DataFrame:
     return read_tree(spark, root, "*.ipynb")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores even if the input is a few unsplittable pieces.
-
-    Only moves rows when the scan has fewer partitions than the cluster has
-    cores, which no large input does; then rows go round-robin, so neither one
-    project nor one directory makes a heavy task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
