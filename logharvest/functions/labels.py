@@ -62,13 +62,13 @@ def parse_smell(answer: Column | str) -> Column:
     """``struct(smell, rationale, confidence)`` of a model answer.
 
     Only a JSON array whose first element is an object counts; everything else
-    gives empty strings. ``try_parse_json`` is strict about quotes, fences and
-    trailing text, and reads mixed arrays, which ``from_json`` does not.
+    gives empty strings. ``try_parse_json`` is strict about quotes and fences
+    and reads mixed arrays, which ``from_json`` does not, but it stops after
+    the first value; inside brackets of our own, anything behind it shows.
     """
-    text = F.regexp_replace(col(answer), r"\A[ \t\n\r]+|[ \t\n\r]+\z", "")
-    is_array = F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]"))
-    parsed = F.try_parse_json(F.when(is_array, text))
-    first = F.try_variant_get(parsed, "$[0]", "variant")
+    wrapped = F.try_parse_json(F.concat(F.lit("["), col(answer), F.lit("]")))
+    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    first = F.when(alone, F.try_variant_get(wrapped, "$[0][0]", "variant"))
     is_object = F.startswith(F.schema_of_variant(first), F.lit("OBJECT"))
 
     def field(name: str) -> Column:
