@@ -144,6 +144,12 @@ def next_batch(spark, sf_dir):
     return R.next_batch(table(spark, sf_dir, "customer"), "c_name", 500, after="Customer#000000040").select("c_name")
 
 
+def batch_slice(spark, sf_dir):
+    """250 customers from the hundred-and-first on, by balance and key."""
+    customers = table(spark, sf_dir, "customer").select("c_acctbal", "c_custkey")
+    return R.batch_slice(customers, ["c_acctbal", "c_custkey"], 100, 250)
+
+
 QUERIES = {
     "term_matches": (
         term_matches,
@@ -156,4 +162,7 @@ QUERIES = {
     "next_batch": (
         next_batch,
         "SELECT c_name FROM customer WHERE c_name > 'Customer#000000040' ORDER BY c_name LIMIT 500"),
+    "batch_slice": (
+        batch_slice,
+        "SELECT c_acctbal, c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 250 OFFSET 100"),
 }

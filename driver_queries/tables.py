@@ -5,15 +5,18 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from driver_queries import agreement, survey
 from driver_queries.base import CORPUS_SQL, table
 from driver_queries.code import parsed, wanted, summary_sql
 from logharvest.functions import text as X
 from logharvest.operators import calls as C
 from logharvest.operators import extraction as E
+from logharvest.operators import survey as S
 from logharvest.operators.layout import spread
 from logharvest.schemas import FILTERED_FILE_CALLS
 from logharvest.session import stored, work_folder
-from logharvest.sources import documents, sinks, tables
+from logharvest.plans.agreement import write_kappa_study
+from logharvest.sources import code, documents, sinks, tables
 
 
 def csv_round_trip(spark, sf_dir):
@@ -131,7 +134,56 @@ def json_map_entries(spark, sf_dir):
     return entries.select("snippet_id", "function", F.md5("llm_output").alias("output_md5"))
 
 
+def tree_lines(spark, sf_dir):
+    """Documents as text files in folders, read back file by file."""
+    path = work_folder(spark, "tree")
+    table(spark, sf_dir, "documents").select("source", "lang", "text").write.partitionBy("source", "lang").text(path)
+    files = code.read_tree(spark, path, "*.txt")
+    lines = files.select(
+        F.regexp_extract("path", "source=([^/]*)/lang=([^/]*)/", 1).alias("source"),
+        F.explode(X.source_lines("content")).alias("line"))
+    return lines.groupBy("source", F.md5("line").alias("line_md5")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def kappa_round_trip(spark, sf_dir):
+    """Two annotation files in, kappa file out."""
+    base = work_folder(spark, "kappa")
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    sinks.write_csv(docs.select("doc_id", "lang").join(labels, "doc_id").select(
+        F.col("doc_id").alias("snippet_id"), F.col("lang").alias("smell"), F.col("quality").alias("Agreement")), f"{base}/a")
+    sinks.write_csv(labels.select(
+        F.col("doc_id").alias("snippet_id"), (1 - F.col("toxic")).alias("Agreement")), f"{base}/b")
+    write_kappa_study(spark, f"{base}/a", f"{base}/b", f"{base}/out")
+    return tables.read_table_csv(spark, f"{base}/out/kappa_by_smell", "smell STRING, n_samples BIGINT, kappa DOUBLE")
+
+
+def survey_csv(spark, sf_dir):
+    """The raw survey through CSV, headers with line breaks included."""
+    path = work_folder(spark, "survey")
+    sinks.write_csv(survey.raw_survey(spark, sf_dir), path)
+    raw = tables.read_survey_csv(spark, path, encoding="UTF-8")
+    return S.normalize_likert(S.simplify_headers(raw))
+
+
+def indexed_csv(spark, sf_dir):
+    path = work_folder(spark, "indexed")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    sinks.write_index_csv(orders, path, ["o_custkey", "o_orderkey"])
+    return tables.read_table_csv(
+        spark, path, "index BIGINT, o_custkey BIGINT, o_orderkey BIGINT, o_orderpriority STRING")
+
+
 QUERIES = {
+    "tree_lines": (
+        tree_lines,
+        """WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+           SELECT source, md5(line) AS line_md5, count(*) AS count FROM l GROUP BY 1, 2"""),
+    "kappa_round_trip": (kappa_round_trip, agreement._LABELS_SQL + agreement._KAPPA_SQL + agreement._BY_SELECT),
+    "survey_csv": (survey_csv, survey._CLEAN_SQL + "SELECT * FROM s"),
+    "indexed_csv": (
+        indexed_csv,
+        """SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS index, o_custkey, o_orderkey, o_orderpriority
+           FROM orders"""),
     "csv_round_trip": (csv_round_trip, _DOCUMENTS_SQL),
     "label_csv_round_trip": (label_csv_round_trip, _DOCUMENTS_SQL),
     "many_csv": (

@@ -58,23 +58,43 @@ def error_label(response: Column | str, error: Column | str) -> Column:
     return F.coalesce(col(response), F.concat(F.lit("LLM error: "), col(error)))
 
 
-def parse_smell(answer: Column | str) -> Column:
-    """``struct(smell, rationale, confidence)`` of a model answer.
+def answer_arrays(answer: Column | str) -> Column:
+    """The answer as an array in an array, null unless it is a strict JSON array.
 
-    Only a JSON array whose first element is an object counts; everything else
-    gives empty strings. ``try_parse_json`` is strict about quotes and fences
-    and reads mixed arrays, which ``from_json`` does not, but it stops after
-    the first value; inside brackets of our own, anything behind it shows.
+    ``try_parse_json`` is strict about quotes and fences and reads mixed arrays,
+    which ``from_json`` does not, but it stops after the first value; inside
+    brackets of our own, anything behind it shows as an error or second element.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), col(answer), F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    first = F.when(alone, F.try_variant_get(wrapped, "$[0][0]", "variant"))
-    is_object = F.startswith(F.schema_of_variant(first), F.lit("OBJECT"))
+    return F.try_variant_get(wrapped, "$", "array<array<variant>>")
+
+
+def first_object(arrays: Column | str) -> Column:
+    """First element of the only array, as a map; null if it is no object."""
+    arrays = col(arrays)
+    first = F.when(F.size(arrays) == 1, F.get(F.get(arrays, F.lit(0)), F.lit(0)))
+    return F.try_variant_get(first, "$", "map<string,variant>")
+
+
+def smell_fields(found: Column | str) -> Column:
+    """``struct(smell, rationale, confidence)`` of an answer object.
+
+    A key that is absent gives an empty string, a key that holds null a null.
+    """
+    found = col(found)
 
     def field(name: str) -> Column:
-        # A key that is absent gives ''; a key that holds null stays null.
-        raw = F.try_variant_get(first, f"$.{name}", "variant")
-        value = F.try_variant_get(first, f"$.{name}", "string")
-        return F.when(is_object & raw.isNotNull(), value).otherwise(F.lit("")).alias(name)
+        value = F.try_element_at(found, F.lit(name))
+        text = F.when(value.isNotNull(), F.try_variant_get(value, "$", "string")).otherwise("")
+        return text.alias(name)
 
     return F.struct(field("smell"), field("rationale"), field("confidence")).cast(SMELL)
+
+
+def parse_smell(answer: Column | str) -> Column:
+    """``struct(smell, rationale, confidence)`` of a model answer.
+
+    Only a JSON array whose first element is an object counts; everything else
+    gives empty strings.
+    """
+    return smell_fields(first_object(answer_arrays(answer)))

@@ -88,12 +88,14 @@ def total_calls(calls: DataFrame) -> DataFrame:
 def function_digest(calls: DataFrame, trimmed: bool = False) -> Column:
     """What is compared and shuffled in place of a function body; null if empty.
 
-    Calls straight from the sources carry it; for stored calls it is computed.
+    Calls straight from the sources carry it, so that counting need not read
+    the bodies; for other stored calls it is computed.
     """
     ready = "trimmed_digest" if trimmed else "function_digest"
+    if ready in calls.columns:
+        return F.col(ready)
     text = strip("function") if trimmed else F.col("function")
-    digest = F.col(ready) if ready in calls.columns else F.sha2(text, 256)
-    return F.when(F.col("function") != "", digest)
+    return F.when(F.col("function") != "", F.sha2(text, 256))
 
 
 def distinct_functions(calls: DataFrame, approximate: bool = False) -> DataFrame:
@@ -157,10 +159,11 @@ def _grouped_calls(calls: DataFrame) -> DataFrame:
     level = F.when(
         F.col("library") == "logging", F.coalesce(C.log_level("snippet"), F.lit("unknown"))
     )
-    return calls.filter((F.col("function") != "") & (F.col("snippet_id") != "")).select(
+    rows = calls.filter(F.col("snippet_id") != "").select(
         "library", level.alias("log_level"), "snippet_id",
         function_digest(calls, trimmed=True).alias("digest"),
     )
+    return rows.filter(F.col("digest").isNotNull())
 
 
 def unique_function_counts(calls: DataFrame) -> DataFrame:
@@ -194,9 +197,10 @@ def unique_functions(calls: DataFrame, max_ids: int = 100_000) -> DataFrame:
         counts["log_level"]
     )
     parts = F.ceil(F.col("n_ids") / F.lit(max_ids)).cast("bigint")
-    # One row per library and level, both from dictionaries: small by construction.
+    # No hint: the counts are few where libraries come from a dictionary, which
+    # adaptive execution sees by their size; otherwise it splits the large groups.
     return (
-        ids.join(F.broadcast(counts), same_group)
+        ids.join(counts, same_group)
         .select(
             ids["library"], ids["log_level"], "unique_function_count", "snippet_id",
             F.pmod(F.xxhash64("snippet_id"), parts).alias("part"),

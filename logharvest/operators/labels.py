@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logharvest.functions import labels as L
+from logharvest.operators.layout import computed_once
 
 
 def build_prompts(functions: DataFrame, template: str = L.TEMPLATES["categories_or_new"]) -> DataFrame:
@@ -25,6 +26,9 @@ def label_join(functions: DataFrame, responses: DataFrame) -> DataFrame:
 
 def parse_labels(outputs: DataFrame) -> DataFrame:
     """``(snippet_id, function, llm_output)`` -> smell, rationale and confidence."""
-    return outputs.withColumn("label", L.parse_smell("llm_output")).select(
+    # As parse_smell, each answer being parsed once for its three fields.
+    parsed = computed_once(outputs, "arrays", L.answer_arrays("llm_output"))
+    found = computed_once(parsed, "found", L.first_object("arrays"))
+    return found.select("snippet_id", "function", L.smell_fields("found").alias("label")).select(
         "snippet_id", "function", "label.*"
     )

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from logharvest.session import stored
 
 
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -25,3 +29,28 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def with_row_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
+    """Row numbers from 0 in the given order, without a single-task window.
+
+    The rows are sorted in ranges and stored with their place in their range;
+    adding the sizes of the ranges before, one number per range, gives the
+    index. Stored, because the two passes must see the same ranges.
+    """
+    columns = df.columns
+    ranges = stored(
+        df.orderBy(*order).select(
+            "*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__place")
+        ),
+        "sorted",
+    )
+    first = F.min("__place").alias("__first")
+    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), first)
+    # One row per range: as many as the sort has partitions.
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        "__range", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )
+    index = F.col("__start") + F.col("__place") - F.col("__first")
+    return ranges.join(F.broadcast(starts), "__range").select(index.alias(name), *columns)

@@ -25,12 +25,11 @@ def top_per_group(
     df: DataFrame,
     groups: Sequence[str],
     order: Sequence[Column],
-    quota: Column,
+    quota: Column | int,
     bound: int | None = None,
     spread: int = 32,
-    salt: Column | None = None,
 ) -> DataFrame:
-    """First ``quota`` rows of each group, in two rounds.
+    """First ``quota`` rows of each group with their ``rank``, in two rounds.
 
     Round one ranks within (group, salt), so a group that holds a third of the
     table is ranked by ``spread`` tasks; a row outside the quota there is
@@ -38,17 +37,15 @@ def top_per_group(
     round two. A literal ``bound`` on the quota lets Spark also cut every map
     output to it before the shuffle.
     """
-    salt = F.pmod(F.xxhash64(*order), F.lit(spread)) if salt is None else salt
-    for part in (["__salt"], []):
-        ranked = Window.partitionBy(*groups, *part).orderBy(*order)
-        if part:
-            df = df.withColumn("__salt", salt)
-        df = df.withColumn("__rank", F.row_number().over(ranked))
-        df = df.filter(F.col("__rank") <= quota)
-        if bound is not None:
-            df = df.filter(F.col("__rank") <= F.lit(bound))
-        df = df.drop("__rank")
-    return df.drop("__salt")
+    quota = F.lit(quota) if isinstance(quota, int) else quota
+
+    def cut(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        kept = ranked.filter(F.col("rank") <= quota)
+        return kept if bound is None else kept.filter(F.col("rank") <= F.lit(bound))
+
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(spread)))
+    return cut(cut(salted, [*groups, "__salt"]).drop("__salt", "rank"), groups)
 
 
 def merge_strata(df: DataFrame, level: str = "log_level") -> DataFrame:
@@ -143,30 +140,31 @@ def balanced_sample(
     Each library gives up to ``max(1, size // #libraries)`` ids, so the result
     may exceed ``size`` when libraries outnumber it. Only ids not yet selected
     take part.
+
+    Both steps take ids in key order, so every id they can take is among the
+    first ``size`` of its library; all else is settled on those few.
     """
     open_rows = (
         add_default_column(df).filter(F.col("selected") == "no")
         .select(group, id_col, sample_key(id_col, seed).alias("__key"))
     )
-    groups = open_rows.select(group).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    quota = F.greatest(F.lit(1), F.floor(F.lit(size) / groups))
     order = [F.col("__key"), F.col(id_col)]
-    even = top_per_group(
-        open_rows.filter(F.col(group).isNotNull()), [group], order, quota, bound=max(1, size)
-    ).select(id_col, "__key")
+    nearest = top_per_group(open_rows, [group], order, size, bound=size)
 
-    missing = F.lit(size) - even.agg(F.count(F.lit(1)).alias("n")).scalar()
+    def count(condition: Column) -> Column:
+        return nearest.agg(F.count_if(condition).alias("n")).scalar()
+
+    # Integer division; a library has exactly one row of rank 1.
+    quota = F.greatest(F.lit(1), F.floor(F.lit(size) / count(F.col("rank") == 1)))
+    # Ids without a library count as one when sharing, but are only used to fill.
+    even = F.col(group).isNotNull() & (F.col("rank") <= quota)
+    missing = F.lit(size) - count(even)
     # Top-k of what is left, then ranked: at most ``size`` rows reach the window.
-    spare = (
-        open_rows.select(id_col, "__key")
-        .join(even.select(id_col), id_col, "left_anti")
-        .orderBy(*order)
-        .limit(size)
-    )
-    filled = spare.withColumn("__rank", F.row_number().over(Window.orderBy(*order))).filter(
-        F.col("__rank") <= missing
+    spare = nearest.filter(~even).orderBy(*order).limit(size)
+    filled = spare.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(
+        F.col("rank") <= missing
     )
-    return even.select(id_col).unionByName(filled.select(id_col))
+    return nearest.filter(even).select(id_col).unionByName(filled.select(id_col))
 
 
 def exclude_used(df: DataFrame, used: DataFrame, on: str = "snippet_id") -> DataFrame:

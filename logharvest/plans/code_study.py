@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from logharvest import dictionaries as D
 from logharvest.functions.text import strip_leading_comments
@@ -72,8 +72,7 @@ def sample(filtered: DataFrame, target: str, seed: int = 42) -> None:
     counts = C.unique_function_counts(calls)
     ids = C.unique_function_ids(calls)
     same = ids["library"].eqNullSafe(counts["library"]) & ids["log_level"].eqNullSafe(counts["log_level"])
-    # One row per library and level: small by construction.
-    rows = ids.join(F.broadcast(counts), same).select(
+    rows = ids.join(counts, same).select(
         ids["library"], ids["log_level"], "unique_function_count", "snippet_id"
     )
     sinks.write_csv(W.stratified_sample(rows, seed=seed), target)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from logharvest.operators.layout import with_row_index
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", single_file: bool = False) -> None:
@@ -34,15 +36,15 @@ def write_report(report: DataFrame, path: str) -> None:
 write_metrics_row = write_report
 
 
-def write_files(files: DataFrame, path: str, by: str = "project_name", spread: int = 16) -> None:
+def write_files(files: DataFrame, path: str, by: str = "project_name") -> None:
     """Matched files as Parquet, one folder per project.
 
-    Each project is written by up to ``spread`` tasks: few enough that a small
-    project does not become a file per task, enough that a project holding a
-    large share of all files is not one task's work.
+    Rebalanced by project: adaptive execution joins small projects into one
+    task, so that they do not become a file per task, and splits a project that
+    holds a large share of all files.
     """
-    salt = F.pmod(F.xxhash64("path"), F.lit(spread))
-    files.repartition(by, salt).write.mode("overwrite").partitionBy(by).parquet(path)
+    balanced = files.hint("rebalance", F.col(by))
+    balanced.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def append_unique(batch: DataFrame, path: str, key: str, batch_id: int) -> None:
@@ -64,14 +66,9 @@ def append_unique(batch: DataFrame, path: str, key: str, batch_id: int) -> None:
     batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def with_row_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
-    """Row number from 0 in the given order, for survey-sized tables."""
-    return df.select((F.row_number().over(Window.orderBy(*order)) - 1).alias(name), *df.columns)
-
-
 def write_index_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """CSV of a survey-sized table with a leading row index."""
-    write_csv(with_row_index(df, order), path, single_file=True)
+    """CSV with a leading row index."""
+    write_csv(with_row_index(df, order), path)
 
 
 def write_kappa(kappa: DataFrame, metadata: DataFrame, disagreements: DataFrame, path: str) -> None:

@@ -127,7 +127,7 @@ def test_label_join_keeps_failures(spark, rows):
 
 def test_write_files_by_project(spark, tmp_path, rows):
     files = spark.createDataFrame([(f"p{i % 3}/x{i}.py", f"c{i}", f"p{i % 3}") for i in range(30)], "path string, content string, project_name string")
-    sinks.write_files(files, str(tmp_path / "f"), spread=4)
+    sinks.write_files(files, str(tmp_path / "f"))
     assert sorted(p.name for p in (tmp_path / "f").glob("project*")) == [f"project_name=p{i}" for i in range(3)]
     assert rows(spark.read.parquet(str(tmp_path / "f")), "path") == rows(files, "path")
 
@@ -147,3 +147,14 @@ def test_index_and_kappa_folders(spark, tmp_path):
     assert tables.read_table_csv(spark, str(tmp_path / "i")).orderBy("index").collect() == [(0, "a"), (1, "b")]
     sinks.write_kappa(df, df, df, str(tmp_path / "k"))
     assert sorted(p.name for p in (tmp_path / "k").iterdir()) == ["disagreements", "kappa_by_smell", "metadata"]
+
+
+def test_row_index_over_many_ranges(spark):
+    from logharvest.operators.catalogue import batch_slice
+    from logharvest.operators.layout import with_row_index
+
+    df = spark.range(0, 5000, numPartitions=8).selectExpr("(id * 7919) % 5000 AS v")
+    found = {(r["v"], r["index"]) for r in with_row_index(df, ["v"]).collect()}
+    assert found == {(i, i) for i in range(5000)}
+    assert sorted(r.v for r in batch_slice(df, ["v"], 4990, 500).collect()) == list(range(4990, 5000))
+    assert with_row_index(df.filter("v < 0"), ["v"]).count() == 0
