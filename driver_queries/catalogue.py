@@ -28,15 +28,15 @@ WITH c AS (
          p_name AS description
   FROM part)
 """
-_POPULAR = "contains(lower(language), 'python') AND stars > 1000"
+_POPULAR = "contains(lower(language), 'python') AND stars > 905"
 
 
 def filtered_repos(spark, sf_dir):
-    return R.filter_repos(_catalogue(spark, sf_dir), 1000)
+    return R.filter_repos(_catalogue(spark, sf_dir), 905)
 
 
 def filter_report(spark, sf_dir):
-    return R.filter_report(_catalogue(spark, sf_dir), 1000)
+    return R.filter_report(_catalogue(spark, sf_dir), 905)
 
 
 def _responses(spark, sf_dir):

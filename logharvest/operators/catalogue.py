@@ -81,13 +81,22 @@ def attach_status(
     ``n_lookups``, the number of rows a plain join would have made of each row,
     as a number instead of as copies.
     """
-    observed = F.struct(F.col("accessible").alias("accessible"), F.col("archived").alias("archived"))
-    once = status.groupBy(F.col(key).alias("__key")).agg(
-        F.max(observed).alias("__status"), F.count(F.lit(1)).alias("__n")
-    )
+    # Both flags in one number, null < false < true each: a hash aggregate keeps
+    # numbers, but would have to sort the table for structs.
+    def code(flag: str, weight: int) -> Column:
+        return F.when(F.col(flag), 2 * weight).when(~F.col(flag), weight).otherwise(0)
+
+    def flag(digit: Column) -> Column:
+        return F.when(digit == 2, True).when(digit == 1, False)
+
+    best = F.max(code("accessible", 3) + code("archived", 1)).alias("__best")
+    once = status.groupBy(F.col(key).alias("__key")).agg(best, F.count(F.lit(1)).alias("__n"))
     joined = repos.join(once, F.col(key).eqNullSafe(F.col("__key")), "left")
-    columns = [*repos.columns, F.col("__status.archived").alias("archived"),
-               F.col("__status.accessible").alias("accessible")]
+    columns = [
+        *repos.columns,
+        flag(F.col("__best") % 3).alias("archived"),
+        flag(F.floor(F.col("__best") / 3)).alias("accessible"),
+    ]
     if count_lookups:
         columns.append(F.coalesce("__n", F.lit(1)).alias("n_lookups"))
     return joined.select(*columns)

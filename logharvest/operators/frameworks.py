@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from logharvest import dictionaries as D
 from logharvest.functions.matching import first_term
 from logharvest.operators.catalogue import KEY
+from logharvest.operators.layout import computed_once
 
 MATCH_COLUMNS = [
     "matched_framework", "matched_term", "matched_file_name", "matched_file_path", "priority",
@@ -33,9 +34,11 @@ def match_terms(
 
 
 def _hits(files: DataFrame, terms: Sequence[tuple[str, str]], mode: str) -> DataFrame:
-    # Lower-cased in a step of its own: once per file, not once per term.
-    lowered = files.select(KEY, "path", F.lower("content").alias("lowered"))
-    return lowered.select(KEY, "path", first_term("lowered", terms, mode).alias("hit"))
+    # Lower-cased once per file, not once per term, and searched once, not for
+    # the test and for the result.
+    lowered = computed_once(files.select(KEY, "path", "content"), "lowered", F.lower("content"))
+    searched = computed_once(lowered, "hit", first_term("lowered", terms, mode))
+    return searched.select(KEY, "path", "hit")
 
 
 def first_match(
