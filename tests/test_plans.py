@@ -31,7 +31,7 @@ def tree(tmp_path):
     for i, level in enumerate(["info", "warn", "warning"]):
         folder = tmp_path / "tree" / f"own{i}" / "repo"
         folder.mkdir(parents=True)
-        (folder / "main.py").write_text(SOURCE.format(level=level))
+        (folder / "__init__.py").write_text(SOURCE.format(level=level))
         (folder / "other.py").write_text("import os\n")
     book = {"nbformat": 4, "cells": [{"cell_type": "code", "source": ["import mlflow\n", "def f():\n", "    mlflow.log_metric('a', 1)"]}]}
     (tmp_path / "tree/own0/repo/book.ipynb").write_text(json.dumps(book))
@@ -43,7 +43,7 @@ def test_code_study(spark, tree, rows):
     files = P.clean_comments(P.ingest(spark, at("tree"), at("files")))
     P.extract_logging_files(files, at("logging_files"), root=at("tree"))
     kept = spark.read.parquet(at("logging_files"))
-    assert rows(kept, "file_path") == [("own0/repo/book.py",), ("own0/repo/main.py",), ("own1/repo/main.py",), ("own2/repo/main.py",)]
+    assert rows(kept, "file_path") == [("own0/repo/__init__.py",), ("own0/repo/book.py",), ("own1/repo/__init__.py",), ("own2/repo/__init__.py",)]
     assert not kept.filter(F.startswith("content", F.lit("#"))).count()
 
     data = P.create_dataset(spark, files, at("dataset"), root=at("tree"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.errors import AnalysisException
 
+from logharvest.functions import text as X
 from logharvest.operators import labels as L
 from logharvest.schemas import FILTERED_FILE_CALLS
 from logharvest.sources import code, documents, sinks, tables
@@ -55,13 +56,36 @@ def test_survey_in_windows_1252(spark, tmp_path):
 
 def test_source_tree(spark, tmp_path, rows):
     (tmp_path / "own/repo/deep").mkdir(parents=True)
-    (tmp_path / "own/repo/deep/a.py").write_bytes("import x\r\né\n".encode())
-    (tmp_path / "own/repo/bad.py").write_bytes(b"\xff\xfe")
-    (tmp_path / "own/repo/n.ipynb").write_text("{}")
-    (tmp_path / "own/repo/c.txt").write_text("x")
-    found = {r.path.rsplit("/", 1)[1]: r.content for r in code.read_source_tree(spark, str(tmp_path)).collect()}
-    assert found == {"a.py": "import x\né\n", "bad.py": None}
-    assert code.read_notebook_tree(spark, str(tmp_path)).count() == 1
+    (tmp_path / "own/_private/.hidden").mkdir(parents=True)
+    texts = {
+        "own/repo/deep/a.py": "import x\r\né\n".encode(),
+        "own/repo/__init__.py": b"",
+        "own/_private/_b.py": b"b",
+        "own/_private/.hidden/.c.py": b"c",
+        "own/repo/bad.py": b"\xff\xfe",
+        "top.py": b"t",
+        "own/repo/n.ipynb": b"{}",
+        "own/repo/c.txt": b"x",
+    }
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        found = code.read_source_tree(spark, root)
+        relative = found.select(X.relative_path("path", root), "content")
+        assert {r[0]: r[1] for r in relative.collect()} == {
+            "own/repo/deep/a.py": "import x\né\n", "own/repo/__init__.py": "", "own/_private/_b.py": "b",
+            "own/_private/.hidden/.c.py": "c", "own/repo/bad.py": None, "top.py": "t"}
+    assert rows(code.read_notebook_tree(spark, str(tmp_path)), "content") == [("{}",)]
+    (tmp_path / "empty").mkdir()
+    assert code.read_source_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_source_tree_in_small_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(code, "_BATCH_BYTES", 10)
+    (tmp_path / "r").mkdir()
+    for i in range(40):
+        (tmp_path / f"r/{i}.py").write_text("x" * i)
+    assert sorted(len(r.content) for r in code.read_source_tree(spark, str(tmp_path)).collect()) == list(range(40))
 
 
 def snippet(i):
