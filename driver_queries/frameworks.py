@@ -96,10 +96,9 @@ def _streamed(spark, sf_dir):
     """The stream reads the document table and writes below the shared folder."""
     schema = table(spark, sf_dir, "documents").schema
     folder = work_folder(spark, "scan")
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 100)
-        .option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    )
+    # A pattern, because a stream takes folders and patterns but not a single file.
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(
+        f"{sf_dir}/documents.parquet*")
     arriving = stream.select(
         F.concat_ws("/", "source", "lang").alias(R.KEY),
         F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"),

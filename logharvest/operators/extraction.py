@@ -105,17 +105,20 @@ def extract_calls(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARIE
     with_calls = computed_once(
         with_libraries(parsed, general, libraries), "lines", X.source_lines("content"))
     functions, lines = F.col("facts.functions"), F.col("lines")
-    texts = F.transform(functions, lambda f: _function_text(f, lines))
-    # Transformed from the facts again: a text held in a column and hashed from
-    # there would be built for both.
-    digests = F.transform(functions, lambda f: F.sha2(_function_text(f, lines), 256))
-    trimmed = F.transform(functions, lambda f: F.sha2(X.strip(_function_text(f, lines)), 256))
-    exploded = with_calls.select(
-        "path", "file_path", "project_name", "library", "library_type", "lines",
+
+    def per_function(value) -> Column:
+        return F.transform(functions, lambda f: value(_function_text(f, lines)))
+
+    # A step of its own in front of the explode: expressions selected beside a
+    # generator are evaluated after it, which here would be once per call.
+    per_file = with_calls.select(
+        "path", "file_path", "project_name", "library", "library_type", "lines", "facts.calls",
         F.col("facts.functions.name").alias("names"),
-        texts.alias("texts"), digests.alias("digests"), trimmed.alias("trimmed"),
-        F.posexplode("facts.calls").alias("position", "call"),
+        per_function(lambda text: text).alias("texts"),
+        per_function(lambda text: F.sha2(text, 256)).alias("digests"),
+        per_function(lambda text: F.sha2(X.strip(text), 256)).alias("trimmed"),
     )
+    exploded = per_file.select("*", F.posexplode("calls").alias("position", "call"))
     call = F.col("call")
     of_function = {
         "function_name": "names", "function": "texts", "function_digest": "digests",

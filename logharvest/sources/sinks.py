@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logharvest.operators.layout import with_row_index
+from logharvest.sources.tables import read_parquet_if_any
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", single_file: bool = False) -> None:
@@ -54,13 +55,8 @@ def append_unique(batch: DataFrame, path: str, key: str, batch_id: int) -> None:
     compared with the other folders only: running it twice changes nothing.
     Keys must be unique within the batch.
     """
-    spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-            raise
-    else:
+    stored = read_parquet_if_any(batch.sparkSession, path)
+    if stored is not None:
         others = stored.filter(F.col("batch_id") != batch_id).select(key)
         batch = batch.join(others, key, "left_anti")
     batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logharvest import dictionaries as D
@@ -67,3 +68,14 @@ def read_survey_csv(spark: SparkSession, path: str, encoding: str = "windows-125
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return reader.option("encoding", encoding).csv(path)
+
+
+def read_parquet_if_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A stored table, or None where nothing has been stored yet."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

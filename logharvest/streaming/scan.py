@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logharvest import dictionaries as D
 from logharvest.operators.frameworks import best_matches, first_match
 from logharvest.schemas import FRAMEWORK_MATCHES
+from logharvest.sources.tables import read_parquet_if_any
 
 
 def scan_frameworks(
@@ -48,8 +49,9 @@ def scan_frameworks(
 
 def scan_results(spark: SparkSession, output: str) -> DataFrame:
     """Every repository seen, with its best match; nulls where there is none."""
-    stored = spark.read.schema(FRAMEWORK_MATCHES + ", batch_id BIGINT").parquet(output)
-    return best_matches(stored)
+    schema = FRAMEWORK_MATCHES + ", batch_id BIGINT"
+    stored = read_parquet_if_any(spark, output, schema)
+    return best_matches(spark.createDataFrame([], schema) if stored is None else stored)
 
 
 def framework_matches(spark: SparkSession, output: str) -> DataFrame:

@@ -187,6 +187,16 @@ def test_each_file_is_split_and_parsed_once(spark):
         assert plan.count("split(regexp_replace") <= 1
 
 
+def test_functions_are_hashed_before_calls_are_exploded(spark):
+    """Plans print from the top: the explode must come above the hashing."""
+    from logharvest.operators.calls import distinct_functions
+
+    frame = distinct_functions(E.extract_calls(parse(spark, {"a.py": "import logging"})))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+    assert plan.index("posexplode") < plan.index("sha2(")
+
+
 def test_enclosing_scope_of_separate_tables(spark, rows):
     calls = spark.createDataFrame([("p", 3), ("p", 3), ("p", 9), ("q", 3)], "path string, line int")
     scopes = spark.createDataFrame(

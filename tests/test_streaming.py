@@ -62,6 +62,10 @@ def test_repeated_batch_changes_nothing(spark, folders, rows):
     assert rows(scan.scan_results(spark, out)) == before
 
 
+def test_nothing_scanned_yet(spark, folders):
+    assert scan.scan_results(spark, folders[1]).count() == 0
+
+
 def test_progress(spark, rows):
     files = spark.createDataFrame(FILES, SCHEMA)
     some = M.first_match(files.filter(F.col(KEY) != "o/c"), keep_unmatched=True)
