@@ -150,6 +150,16 @@ def batch_slice(spark, sf_dir):
 
 
 QUERIES = {
+    "search_results": (
+        lambda spark, sf_dir: M.as_search_results(M.first_match(files(spark, sf_dir), TERMS), "https://example.org/"),
+        _BEST_SQL + """
+SELECT repository_full_name, framework AS matched_framework, term AS matched_term,
+       list_extract(string_split(path, '/'), -1) AS matched_file_name,
+       list_extract(string_split(path, '/'), -1) AS matched_file_path,
+       'https://example.org/' || repository_full_name || '/blob/HEAD/' || list_extract(string_split(path, '/'), -1)
+         AS matched_html_url,
+       NULL::DOUBLE AS score
+FROM best"""),
     "term_matches": (
         term_matches,
         _HITS_SQL + "SELECT repository_full_name, path, CAST(priority AS BIGINT) AS priority, framework, term FROM h JOIN t ON priority = p"),

@@ -40,7 +40,8 @@ def parse_files(
     """
     if not keep_all:
         files = files.filter(mentions_library("content", libraries))
-    files = files.withColumn("content", X.unix_newlines("content"))
+    # Bytes that are no UTF-8 cannot be handed to the parser; they become null.
+    files = files.withColumn("content", F.try_validate_utf8(X.unix_newlines("content")))
     facts = facts_udf(libraries, absolute_only, with_async)
     relative = X.relative_path("path", root) if root else F.col("path")
     return files.select(

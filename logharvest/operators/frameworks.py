@@ -73,6 +73,21 @@ def best_matches(results: DataFrame) -> DataFrame:
     return results.groupBy(KEY).agg(best.alias("best")).select(KEY, "best.*")
 
 
+def as_search_results(matches: DataFrame, base_url: str = "https://github.com") -> DataFrame:
+    """Matches in the columns of a hosting service's search answer: the path
+    inside the repository and a link to it. A scan of stored files has no score."""
+    path, name = F.col("matched_file_path"), F.col(KEY)
+    inside = F.when(
+        F.startswith(path, F.concat(name, F.lit("/"))), F.substr(path, F.length(name) + 2)
+    ).otherwise(path)
+    link = F.concat_ws("/", F.lit(base_url.rstrip("/")), F.col(KEY), F.lit("blob/HEAD"), inside)
+    return matches.select(
+        KEY, "matched_framework", "matched_term", "matched_file_name",
+        inside.alias("matched_file_path"), link.alias("matched_html_url"),
+        F.lit(None).cast("double").alias("score"),
+    )
+
+
 def scan_progress(repositories: DataFrame, results: DataFrame) -> DataFrame:
     """Repositories in total, processed and matched, and whether all are done.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logharvest.operators import agreement as A
+from logharvest.session import stored
 from logharvest.sources import sinks
 from logharvest.sources.tables import read_annotations
 
@@ -13,7 +14,8 @@ def compute_kappa(a: DataFrame, b: DataFrame, min_samples: int = 2) -> tuple[Dat
     """(kappa by smell, metadata, disagreeing rows with all their columns)."""
     side = "a" if A.find_column_ci(a.columns, ("smell", "smell_category", "category")) else "b"
     left, right = A.annotations(a), A.annotations(b)
-    pairs = A.pair_annotations(left, right, smell_from=side)
+    # Stored: two checks and two results read it.
+    pairs = stored(A.pair_annotations(left, right, smell_from=side), "pairs")
     A.require_rows(pairs, "no matching snippet_id rows")
     A.require_rows(A.both_present(pairs), "no rows with both ratings")
 

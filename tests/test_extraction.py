@@ -161,6 +161,14 @@ def test_broken_files_are_reported_not_fatal(spark, rows):
     assert ("a/bad.py", 0, 0) in rows(E.count_definitions(every))
 
 
+def test_bytes_that_are_no_text(spark, rows):
+    raw = spark.createDataFrame([("a.py", bytearray(b"import logging\n'\xff'"))], "path string, raw binary")
+    files = raw.select("path", F.col("raw").cast("string").alias("content"))
+    parsed = E.parse_files(files)
+    assert rows(E.unparsable_files(parsed), "path", "reason") == [("a.py", "no text")]
+    assert E.extract_calls(parsed).count() == 0
+
+
 def test_deep_nesting_is_an_error_row():
     assert file_facts("import logging\nx = " + "(" * 5000 + ")" * 5000, frozenset(["logging"]))["status"] != "parsed"
 
