@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_queries.base import table, texts
+from driver_queries.base import CORPUS_SQL, source_files, table, texts
 from logharvest.operators import catalogue as R
 from logharvest.operators import frameworks as M
 from logharvest.session import stored, work_folder
@@ -149,7 +149,23 @@ def batch_slice(spark, sf_dir):
     return R.batch_slice(customers, ["c_acctbal", "c_custkey"], 100, 250)
 
 
+def imported_frameworks(spark, sf_dir):
+    """The default terms, searched as imports in the derived source files."""
+    sources = M.with_repository(source_files(spark, sf_dir), "path")
+    return _shown(M.first_match(sources, mode="import"))
+
+
+_IMPORTED_SQL = CORPUS_SQL + """
+SELECT source || '/' || lang AS repository_full_name, any_value(t.framework) AS matched_framework,
+       any_value(t.framework) AS matched_term, list_extract(string_split(min(path), '/'), -1) AS matched_file_name,
+       min(path) AS matched_file_path, CAST(any_value(t.priority) AS BIGINT) AS priority
+FROM content JOIN (VALUES ('general', 'logging', 11), ('hybrid', 'wandb', 2), ('ml', 'mlflow', 5),
+                          ('alias', 'logging', 11)) AS t(k, framework, priority) ON kind = k
+GROUP BY 1"""
+
+
 QUERIES = {
+    "imported_frameworks": (imported_frameworks, _IMPORTED_SQL),
     "search_results": (
         lambda spark, sf_dir: M.as_search_results(M.first_match(files(spark, sf_dir), TERMS), "https://example.org/"),
         _BEST_SQL + """
