@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORED: list[str] = []
+
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -34,13 +36,29 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared ``spark.checkpoint.dir`` of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or
+    what ``SparkContext.setCheckpointDir`` was given.
 
-    Only where that is not set, as in local tests, a temporary folder serves.
+    Only a local master may do without; then a temporary folder is set as the
+    checkpoint directory, once per session.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logharvest-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="logharvest-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder of the session."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,4 +69,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever file system it is."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``stored`` has written so far in this process; returns how many.
+
+    For the end of a job, when nothing lazily reads those tables any more.
+    """
+    gone = 0
+    while _STORED:
+        remove(spark, _STORED.pop())
+        gone += 1
+    return gone
