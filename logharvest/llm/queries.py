@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharvest.llm import quality_rules
+from logharvest.llm import line_spread, packing, quality_rules, simhash_pivots
 from logharvest.llm.common import table
 
 
+def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_boilerplate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", "n_lines_removed"
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op4_simhash_pivots": (op4_simhash_pivots, None),
+    "op6_line_spread": (op6_line_spread, line_spread.oracle_sql()),
+    "op7_packing": (op7_packing, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
