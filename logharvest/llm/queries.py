@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharvest.llm import line_spread, packing, quality_rules, simhash_pivots
+from logharvest.llm import decontamination, line_spread, packing, quality_rules, simhash_pivots
 from logharvest.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).drop("key")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,5 +36,6 @@ QUERIES = {
     "op4_simhash_pivots": (op4_simhash_pivots, None),
     "op6_line_spread": (op6_line_spread, line_spread.oracle_sql()),
     "op7_packing": (op7_packing, None),
+    "op9_decontamination": (op9_decontamination, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
