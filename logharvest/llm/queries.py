@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharvest.llm import decontamination, line_spread, packing, quality_rules, simhash_pivots
+from logharvest.llm import cotraining, decontamination, disclosure, line_spread, packing, quality_rules, simhash_pivots
 from logharvest.llm.common import table
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digests(disclosure.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "component")
 
 
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +41,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cotraining": (op1_cotraining, None),
+    "op3_disclosure": (op3_disclosure, None),
     "op4_simhash_pivots": (op4_simhash_pivots, None),
     "op6_line_spread": (op6_line_spread, line_spread.oracle_sql()),
     "op7_packing": (op7_packing, None),

@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from logharvest.llm.common import row_key
 from logharvest.llm.components import connected_components
 from logharvest.session import stored
 
@@ -73,15 +74,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` per row; ``fp`` holds the 64 bits as a signed long."""
+    """``(doc_id, key, fp)`` per row; ``fp`` holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found.view(np.int64)})
+            found = np.array([fingerprint(t, shingle) for t in batch.pop("text")], dtype=np.uint64)
+            yield batch.assign(fp=found.view(np.int64))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select("doc_id", "text", row_key().alias("key")).select("doc_id", "key.a", "key.b", "text")
+    made = rows.mapInPandas(run, f"doc_id {kind}, a bigint, b bigint, fp bigint")
+    return made.select("doc_id", F.struct("a", "b").alias("key"), "fp")
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
@@ -221,7 +224,11 @@ def _chunk_pairs(large: DataFrame, bucket: list[str], radius: int, chunk: int) -
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, chunk: int = CHUNK
 ) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` per document; the component's name is its smallest id."""
+    """``(doc_id, fingerprint, component_id, key, component)`` per document.
+
+    ``component_id`` is the smallest id in the component, null if it has none;
+    ``component`` tells components apart even then; ``key`` is ``common.row_key``.
+    """
     known = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = known.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     distinct = stored(distinct, "distinct-fingerprints")
@@ -231,8 +238,17 @@ def near_duplicates(
         "fp", "first_doc", F.coalesce("component", "fp").alias("component")
     )
     names = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = grouped.join(names, "component").select("fp", "component_id")
+    named = grouped.join(names, "component").select("fp", "component_id", "component")
     # Ids of one fingerprint are one row on the right, however many documents share it.
     return known.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key", "component"
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component: that with the smallest id; ids that are null come last."""
+    groups = near_duplicates(docs, **options)
+    first = F.min_by("key", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key"))
+    chosen = groups.groupBy("component").agg(first.alias("__key")).select("__key")
+    rows = docs.withColumn("__key", row_key()).join(chosen, "__key", "left_semi")
+    return rows.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
