@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharvest.llm import cotraining, decontamination, disclosure, line_spread, packing, quality_rules, simhash_pivots
+from logharvest.llm import cotraining, decontamination, disclosure, line_spread, packing, quality_rules, randomness, simhash_pivots
 from logharvest.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "component")
 
 
+def op5_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness.digests(randomness.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.remove_boilerplate(table(spark, sf_dir, "documents")).select(
         "doc_id", "text", "n_lines_removed"
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_cotraining": (op1_cotraining, None),
     "op3_disclosure": (op3_disclosure, None),
     "op4_simhash_pivots": (op4_simhash_pivots, None),
+    "op5_randomness": (op5_randomness, None),
     "op6_line_spread": (op6_line_spread, line_spread.oracle_sql()),
     "op7_packing": (op7_packing, None),
     "op9_decontamination": (op9_decontamination, None),
