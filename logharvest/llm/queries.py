@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharvest.llm import cotraining, decontamination, disclosure, line_spread, packing, quality_rules, randomness, simhash_pivots
+from logharvest.llm import chat, cotraining, decontamination, disclosure, line_spread, packing, quality_rules, randomness, simhash_pivots
 from logharvest.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.segments(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_passages(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_randomness": (op5_randomness, None),
     "op6_line_spread": (op6_line_spread, line_spread.oracle_sql()),
     "op7_packing": (op7_packing, None),
+    "op8_chat": (op8_chat, None),
     "op9_decontamination": (op9_decontamination, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
