@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharvest.llm import chat, cotraining, decontamination, disclosure, line_spread, packing, quality_rules, randomness, simhash_pivots
+from logharvest.llm import chat, cotraining, decontamination, disclosure, line_spread, packing, quality_rules, randomness, simhash_pivots, warc
 from logharvest.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    pages = pages.withColumn("captured", warc.captured_at(pages["page_id"]))
+    return warc.capture_history(spark, pages).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "place"
+    )
+
+
 def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.digests(disclosure.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -50,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_cotraining": (op1_cotraining, None),
+    "op2_warc": (op2_warc, None),
     "op3_disclosure": (op3_disclosure, None),
     "op4_simhash_pivots": (op4_simhash_pivots, None),
     "op5_randomness": (op5_randomness, None),
