@@ -18,6 +18,7 @@ are packed row by row like any other. Empty tables give empty results.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import zlib
 from collections.abc import Iterator
@@ -35,11 +36,15 @@ MAX_ATTENTION = SEQUENCE**2
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 # Bound of the worker's memory of encoded words.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Pieces that a task packs at a time: bounds its memory and the open sequences it looks through.
-TOGETHER = 50_000
+TOGETHER = 8192
 # White space as byte-level BPE's own splitting pattern has it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Some letters, and signs that end a run of letters: a word is cut from the signs
+# after it, so that it is the same word with and without them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_SIGNS = "!\"#$%&()*+,./:;<=>?@\\[\\]^`{|}~\\-"
 _KEPT: dict = {}
 
 
@@ -47,8 +52,8 @@ class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit words.
 
     Byte-level BPE never merges across the places where its splitting pattern
-    cuts, and it always cuts before the space that precedes a word and around
-    other white space. So a text is cut there first, and each distinct word is
+    cuts, and it always cuts before the space that precedes a word, around other
+    white space, and where letters meet signs. So a text is cut there first, and each distinct word is
     encoded once by the tokenizer and remembered: words recur, and encoding one
     costs far more than looking it up. Strings of added tokens are taken out
     before, as the tokenizer does.
@@ -62,30 +67,40 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+        self.cut = re.compile(
+            f" ?[{_LETTERS}]++(?=[{_SIGNS}{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+        ).findall
         added = {token.content for token in self.tokenizer.get_added_tokens_decoder().values()}
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        """Ids of each word; one call for all, as each is split off before it is encoded."""
+        encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(encoded.ids, "<u4").tobytes()
+        ends = 4 * np.searchsorted(np.array(encoded.word_ids), np.arange(len(words)), "right")
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
-        parts = self.added.split(text) if self.added else [text]
-        words: list[str] = []
-        for i, part in enumerate(parts):
-            words += [part] if i % 2 else self.cut(part)
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            found = dict(zip(new, self._ids(new), strict=True))
-            if len(known) + len(found) <= self.remembered:
-                known.update(found)
-            else:
-                return b"".join([known.get(w) or found[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+        if self.added:
+            parts = self.added.split(text)
+            words = [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.cut(part))]
+        else:
+            words = self.cut(text)
+        found = list(map(self.known.get, words))
+        missing, at = [], -1
+        with contextlib.suppress(ValueError):
+            while True:
+                missing.append(at := found.index(None, at + 1))
+        if missing:
+            new = list({words[i] for i in missing})
+            made = dict(zip(new, self._ids(new), strict=True))
+            if len(self.known) + len(made) <= self.remembered:
+                self.known.update(made)
+            for i in missing:
+                found[i] = made[words[i]]
+        return b"".join(found)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -143,36 +158,40 @@ def best_fit(
     ``norm``, the least weighted norm of the residual that would remain. Ties go
     to the oldest bin.
     """
-    capacity = np.array([sequence, max_documents, max_attention], float)
-    weight = np.array(weights)
+    size, n_open, made = 1024, 0, 0
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    size = 1024
-    left, ids, n_open, made = np.empty((size, 3)), np.empty(size, np.int64), 0, 0
-    order = np.argsort(-lengths, kind="stable")
-    shortest = lengths.min(initial=sequence)
-    for at in order.tolist():
-        need = np.array([lengths[at], 1, float(lengths[at]) ** 2])
-        own = left[:n_open]
-        fits = np.flatnonzero((own >= need).all(axis=1))
+    # Residual tokens, documents and attention cost of the open bins, in the order they were opened.
+    tokens, count, cost, ids = np.empty(size), np.empty(size), np.empty(size), np.empty(size, np.int64)
+    w_tokens, w_count, w_cost = weights
+    shortest = int(lengths.min(initial=sequence))
+    for at in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[at])
+        t, d, c = tokens[:n_open], count[:n_open], cost[:n_open]
+        fits = np.flatnonzero((t >= n) & (d >= 1) & (c >= n * n))
         if len(fits):
-            share = own[fits] / capacity
+            t, d, c = t[fits] / sequence, d[fits] / max_documents, c[fits] / max_attention
+            own = n / sequence, 1 / max_documents, n * n / max_attention
             if select == "dot":
-                score = share @ (weight * need / capacity)
+                score = t * (w_tokens * own[0]) + d * (w_count * own[1]) + c * (w_cost * own[2])
             else:
-                score = ((share - need / capacity) ** 2) @ weight
+                score = w_tokens * (t - own[0]) ** 2 + w_count * (d - own[1]) ** 2 + w_cost * (c - own[2]) ** 2
             k = int(fits[score.argmin()])
         else:
-            if need[2] > max_attention:
-                raise ValueError(f"a piece of {lengths[at]} tokens alone exceeds the attention capacity")
+            if n * n > max_attention:
+                raise ValueError(f"a piece of {n} tokens alone exceeds the attention capacity")
             if n_open == size:
                 size *= 2
-                left, ids = np.resize(left, (size, 3)), np.resize(ids, size)
-            k, left[n_open], ids[n_open] = n_open, capacity, made
+                tokens, count, cost, ids = (np.resize(x, size) for x in (tokens, count, cost, ids))
+            k, ids[n_open] = n_open, made
+            tokens[k], count[k], cost[k] = sequence, max_documents, max_attention
             n_open, made = n_open + 1, made + 1
-        bins[at], offsets[at] = ids[k], sequence - left[k, 0]
-        left[k] -= need
-        if left[k, 0] < shortest or left[k, 1] < 1 or left[k, 2] < shortest**2:  # nothing more fits
-            left[k:n_open - 1], ids[k:n_open - 1] = left[k + 1:n_open].copy(), ids[k + 1:n_open].copy()
+        bins[at], offsets[at] = ids[k], sequence - tokens[k]
+        tokens[k] -= n
+        count[k] -= 1
+        cost[k] -= n * n
+        if tokens[k] < shortest or count[k] < 1 or cost[k] < shortest * shortest:  # nothing more fits
+            for x in (tokens, count, cost, ids):
+                x[k : n_open - 1] = x[k + 1 : n_open]
             n_open -= 1
     return bins, offsets
 
