@@ -1,13 +1,12 @@
 """Conversations as training texts with a loss mask aligned to tokens.
 
-A turn becomes ``<turn>role\\ntext</turn>\\n``; a conversation is its turns, one
-after the other. Inside roles and texts anything that looks like a mark gets one
-backslash more behind its ``<``, and loses one when read back, so that every
-text comes back as it was and no text can end its turn. A line feed within a
-role is written ``<\\nl>``, by the same rule.
-
-The marks are added tokens, so a tokenizer never joins one with what is beside
-it. The rendered text is encoded once, with offsets; the spans of the assistant's
+A turn becomes ``<turn>role<says>text</turn>`` and a line feed; a conversation is
+its turns, one after the other. Inside roles and texts anything that looks like a
+mark gets one backslash more behind its ``<``, and loses one when read back, so
+that every text comes back as it was and no text can end its turn.
+
+The marks are added tokens, and every text stands between two of them, so a
+tokenizer never joins a text with what is beside it. The rendered text is encoded once, with offsets; the spans of the assistant's
 texts and those of the tokens are both sorted, so the tokens of a span are found
 by binary search, and loss lies on exactly these.
 
@@ -38,12 +37,12 @@ from pyspark.sql import DataFrame, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OPEN, CLOSE = "<turn>", "</turn>"
+OPEN, SAYS, CLOSE = "<turn>", "<says>", "</turn>"
 LEARNED = "assistant"
 TOKENIZER = "byte_bpe_50k.json"
-_LOOKS_LIKE_MARK = re.compile(r"<(\\*/?turn>|\\*nl>)")
-_ESCAPED = re.compile(r"<\\(\\*/?turn>|\\*nl>)")
-_TURN = re.compile(rf"{OPEN}([^\n]*)\n(.*?){CLOSE}\n", re.DOTALL)
+_LOOKS_LIKE_MARK = re.compile(r"<(\\*(?:/?turn|says)>)")
+_ESCAPED = re.compile(r"<\\(\\*(?:/?turn|says)>)")
+_TURN = re.compile(rf"{OPEN}(.*?){SAYS}(.*?){CLOSE}\n", re.DOTALL)
 _KEPT: dict = {}
 # Characters encoded at a time; a single turn is never cut.
 TOGETHER = 1 << 20
@@ -57,19 +56,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1", text)
 
 
-def escape_role(role: str) -> str:
-    return escape(role).replace("\n", "<nl>")
-
-
-def unescape_role(role: str) -> str:
-    return unescape(role.replace("<nl>", "\n"))
-
-
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The text, and the sorted spans of the assistant's texts in it."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
+        head, body = f"{OPEN}{escape(role)}{SAYS}", escape(text)
         if role == LEARNED:
             spans.append((at + len(head), at + len(head) + len(body)))
         parts.append(f"{head}{body}{CLOSE}\n")
@@ -78,7 +69,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
-    return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
+    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
 def tokenizer(path: str = TOKENIZER):
@@ -93,7 +84,7 @@ def tokenizer(path: str = TOKENIZER):
         made = Tokenizer.from_file(public_tokenizers.path(path) if "/" not in path else path)
         # Offsets must cover spaces; other added tokens are ordinary text in a conversation.
         made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False)
-        made.add_tokens([AddedToken(mark, normalized=False) for mark in (OPEN, CLOSE)])
+        made.add_tokens([AddedToken(mark, normalized=False) for mark in (OPEN, SAYS, CLOSE)])
         made.encode_special_tokens = True
         _KEPT[path] = made
     return _KEPT[path]

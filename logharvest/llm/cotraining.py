@@ -210,7 +210,8 @@ def select_tokens(sample: DataFrame, target: str, n_tokens: int) -> list[str]:
         for batch in batches:
             for text, label in zip(batch["text"], batch[target], strict=True):
                 found = sorted(tokens_of(text or ""))
-                yield pd.DataFrame({"token": found, "label": np.int32(label)})
+                if found:
+                    yield pd.DataFrame({"token": found, "label": np.int32(label)})
 
     counted = (
         sample.select("text", target).mapInPandas(explode, "token string, label int")

@@ -52,8 +52,10 @@ def _with_grams(rows: DataFrame, source: str, shingle: int) -> DataFrame:
 
 
 def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(item_id, words, size, grams)`` of items that have a shingle."""
-    rows = computed_once(benchmark.select("item_id", "text"), "words", _words(whole("text"))).drop("text")
+    """``(item, words, size, grams)`` of items that have a shingle; ``item`` is id and a hash of the text."""
+    item = F.struct("item_id", F.xxhash64(whole("text")).alias("h")).alias("item")
+    rows = computed_once(benchmark.select(item, "text"), "words", _words(whole("text"))).drop("text")
+    rows = rows.dropDuplicates(["item"])
     rows = rows.withColumn("size", F.size("words")).where(F.col("size") >= shingle)
     return _with_grams(rows, "words", shingle)
 
@@ -151,12 +153,12 @@ def find_passages(
         distinct.select("window", "words", F.col("window.size").alias("size"), simhash("grams").alias("fp")),
         "window-fingerprints",
     )
-    indexed = items.select("item_id", "size", simhash("grams").alias("item_fp"))
+    indexed = items.select("item", "size", simhash("grams").alias("item_fp"))
     pairs = (
         distinct.select("window", "size", "fp", F.explode(_blocks("fp", radius)).alias("k"))
         .join(indexed.withColumn("k", F.explode(_blocks("item_fp", radius))), ["size", "k"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-        .select("window", "item_id").distinct()
+        .select("window", "item").distinct()
     )
 
     def weights(frame: DataFrame, name: str, weight: str) -> DataFrame:
@@ -169,11 +171,11 @@ def find_passages(
 
     common = (
         pairs.join(weights(distinct.where(F.size("words") >= shingle), "window", "w"), "window")
-        .join(weights(items, "item_id", "i"), ["item_id", "s"])
-        .groupBy("window", "item_id", "w_all", "i_all").agg(F.sum(F.least("w", "i")).alias("common"))
+        .join(weights(items, "item", "i"), ["item", "s"])
+        .groupBy("window", "item", "w_all", "i_all").agg(F.sum(F.least("w", "i")).alias("common"))
     )
     union = F.col("w_all") + F.col("i_all") - F.col("common")
-    verified = common.select("window", "item_id", (F.col("common") / union).alias("similarity")).where(
+    verified = common.select("window", "item.item_id", (F.col("common") / union).alias("similarity")).where(
         F.col("similarity") >= similarity
     )
     best = F.max_by(F.struct("start", F.size("words").alias("n_words")), F.struct("similarity", -F.col("start")))

@@ -201,6 +201,7 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, together: int = TOGETHER, **r
     columns = cut.columns
 
     def placed(rows: pd.DataFrame, first: int) -> tuple[pd.DataFrame, int]:
+        rows = rows.astype({c: object for c in rows.columns if rows[c].dtype.kind not in "iuf"})
         bins, offsets = best_fit(rows["length"].to_numpy(np.int64), sequence, **rule)
         return rows.assign(sequence_id=first + bins, offset=offsets), first + int(bins.max()) + 1
 
