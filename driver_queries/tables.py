@@ -7,33 +7,42 @@ from pyspark.sql import functions as F
 
 from driver_queries import agreement, survey
 from driver_queries.base import CORPUS_SQL, table
-from driver_queries.code import parsed, wanted, summary_sql
+from driver_queries.code import METRICS_SQL, parsed, wanted, summary_sql
 from logharvest.functions import text as X
 from logharvest.operators import calls as C
 from logharvest.operators import extraction as E
 from logharvest.operators import survey as S
 from logharvest.operators.layout import spread
-from logharvest.schemas import FILTERED_FILE_CALLS
+from logharvest.operators.notebooks import broken_notebooks, flatten_notebooks
+from logharvest.schemas import KEYED_FILTERED_FILE_CALLS
 from logharvest.session import stored, work_folder
 from logharvest.plans.agreement import write_kappa_study
 from logharvest.sources import code, documents, sinks, tables
 
 
+def _with_edges(docs):
+    """Indented texts that end in line feeds; every ninth is blanks only."""
+    text = F.when(F.col("doc_id") % 9 == 0, "  \n \t").otherwise(F.concat(F.lit("    "), "text", F.lit(" \n")))
+    return docs.select("doc_id", "lang", text.alias("text"))
+
+
 def csv_round_trip(spark, sf_dir):
-    """Texts with quotes, commas and line breaks through a headed CSV."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    """Texts with quotes, commas and line breaks through a headed CSV, blanks around them kept."""
+    docs = _with_edges(table(spark, sf_dir, "documents"))
     path = work_folder(spark, "csv")
     sinks.write_csv(docs, path)
     back = tables.read_table_csv(spark, path, "doc_id BIGINT, lang STRING, text STRING")
     return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
-_DOCUMENTS_SQL = "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents"
+_DOCUMENTS_SQL = """
+SELECT doc_id, lang, md5(CASE WHEN doc_id % 9 = 0 THEN '  ' || chr(10) || ' ' || chr(9)
+                              ELSE '    ' || text || ' ' || chr(10) END) AS text_md5 FROM documents"""
 
 
 def label_csv_round_trip(spark, sf_dir):
     """The same with semicolons."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = _with_edges(table(spark, sf_dir, "documents"))
     path = work_folder(spark, "labels")
     sinks.write_csv(docs, path, sep=";")
     back = tables.read_table_csv(spark, path, "doc_id BIGINT, lang STRING, text STRING", sep=";")
@@ -57,9 +66,10 @@ def catalogue_parquet(spark, sf_dir):
 def json_round_trip(spark, sf_dir):
     """Filtered records through JSON lines."""
     path = work_folder(spark, "json")
-    sinks.write_json(C.filter_file_calls(E.build_call_dataset(parsed(spark, sf_dir))), path)
-    calls = E.explode_calls(spark.read.schema(FILTERED_FILE_CALLS).json(path))
-    return calls.select("snippet_id", "snippet", "library", F.md5("function").alias("function_md5"))
+    data = C.filter_file_calls(E.build_call_dataset(parsed(spark, sf_dir), bodies=False))
+    sinks.write_json(E.with_bodies(data), path)
+    calls = E.explode_calls(spark.read.schema(KEYED_FILTERED_FILE_CALLS).json(path))
+    return calls.select("call_key", "snippet_id", "snippet", "library", F.md5("function").alias("function_md5"))
 
 
 def report_round_trip(spark, sf_dir):
@@ -173,7 +183,91 @@ def indexed_csv(spark, sf_dir):
         spark, path, "index BIGINT, o_custkey BIGINT, o_orderkey BIGINT, o_orderpriority STRING")
 
 
+def metrics_row(spark, sf_dir):
+    """Figures of the data set as one row of CSV."""
+    path = work_folder(spark, "metrics")
+    sinks.write_metrics_row(C.dataset_metrics(E.build_call_dataset(parsed(spark, sf_dir))), path)
+    return tables.read_table_csv(spark, path)
+
+
+def notebook_tree(spark, sf_dir):
+    """Pages as notebooks in folders: every fifth is no notebook; what is read and what is broken."""
+    pages = table(spark, sf_dir, "pages")
+    cell = F.array(F.struct(F.lit("code").alias("cell_type"), F.array("html").alias("source")))
+    book = F.to_json(F.struct(cell.alias("cells"), F.lit(4).alias("nbformat")))
+    path = work_folder(spark, "notebooks")
+    body = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("{ page "), F.col("page_id").cast("string"))).otherwise(book)
+
+    def write(batches):
+        import os
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{base}/{os.path.dirname(name)}", recursive=True)
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(text.encode())
+            yield batch.select([0])
+
+    name = F.concat(F.lit("p"), (F.col("page_id") % 7).cast("string"), F.lit("/b"), F.col("page_id").cast("string"), F.lit(".ipynb"))
+    stored(pages.select(name.alias("name"), body.alias("body")).mapInArrow(write, "name string"), "written")
+    books = code.read_notebook_tree(spark, path)
+    number = F.regexp_extract("path", r"/b([0-9]+)\.", 1).cast("bigint").alias("page_id")
+    good = flatten_notebooks(books).select(number, F.lit("read").alias("outcome"))
+    return good.unionByName(broken_notebooks(books).select(number, F.lit("broken").alias("outcome")))
+
+
+def _study(spark, sf_dir):
+    """The agreement study on integer against floating-point ratings."""
+    base = work_folder(spark, "study")
+    labels = table(spark, sf_dir, "labels")
+    sinks.write_csv(labels.select(F.col("doc_id").alias("snippet_id"), F.col("quality").alias("Agreement")), f"{base}/a")
+    sinks.write_csv(labels.select(
+        F.col("doc_id").alias("snippet_id"), (1 - F.col("toxic")).cast("double").alias("Agreement")), f"{base}/b")
+    write_kappa_study(spark, f"{base}/a", f"{base}/b", f"{base}/out")
+    return base
+
+
+def kappa_metadata(spark, sf_dir):
+    base = _study(spark, sf_dir)
+    names = [F.regexp_extract(c, "([^/]*)$", 1).alias(c) for c in ("file_a", "file_b")]
+    counts = ["rows_file_a", "rows_file_b", "rows_merged_after_join", "rows_with_both_agreement"]
+    return tables.read_table_csv(spark, f"{base}/out/metadata").select(*names, *[F.col(c).cast("bigint") for c in counts])
+
+
+def kappa_disagreements(spark, sf_dir):
+    base = _study(spark, sf_dir)
+    found = tables.read_table_csv(spark, f"{base}/out/disagreements")
+    return found.select(F.col("snippet_id").cast("bigint"), F.col("Agreement_a").cast("double"), F.col("Agreement_b").cast("double"))
+
+
+def json_documents(spark, sf_dir):
+    """Conversations as JSON arrays, a third of the texts null, through the array writer and reader."""
+    turns = spread(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.col("text")).alias("text"))
+    path = work_folder(spark, "documents")
+    sinks.write_json_array(turns, path)
+    back = documents.read_json_array(spark, path, "conv_id BIGINT, turn BIGINT, text STRING")
+    return back.select("conv_id", "turn", F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
+    "metrics_row": (metrics_row, METRICS_SQL),
+    "notebook_tree": (
+        notebook_tree, "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'broken' ELSE 'read' END AS outcome FROM pages"),
+    "kappa_metadata": (
+        kappa_metadata,
+        """SELECT 'a' AS file_a, 'b' AS file_b, count(*) AS rows_file_a, count(*) AS rows_file_b,
+                  count(*) AS rows_merged_after_join, count(*) AS rows_with_both_agreement FROM labels"""),
+    "kappa_disagreements": (
+        kappa_disagreements,
+        """SELECT doc_id AS snippet_id, CAST(quality AS DOUBLE) AS "Agreement_a", CAST(1 - toxic AS DOUBLE) AS "Agreement_b"
+           FROM labels WHERE quality <> 1 - toxic"""),
+    "json_documents": (
+        json_documents,
+        "SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN md5(text) END AS text_md5 FROM conversations"),
     "tree_lines": (
         tree_lines,
         """WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -193,7 +287,7 @@ QUERIES = {
     "catalogue_parquet": (catalogue_parquet, "SELECT * FROM part"),
     "json_round_trip": (
         json_round_trip,
-        CORPUS_SQL + "SELECT snippet_id, snippet, library, md5(function) AS function_md5 FROM wanted"),
+        CORPUS_SQL + "SELECT call_key, snippet_id, snippet, library, md5(function) AS function_md5 FROM wanted"),
     "report_round_trip": (report_round_trip, summary_sql("library")),
     "files_by_project": (files_by_project, _FILES_SQL),
     "json_array_records": (
@@ -204,7 +298,7 @@ QUERIES = {
         "SELECT conv_id || '-' || turn AS snippet_id, role AS function, md5(text) AS output_md5 FROM conversations"),
     "id_lists": (
         id_lists,
-        CORPUS_SQL + """SELECT DISTINCT library,
+        CORPUS_SQL + """SELECT library, log_level, snippet_id FROM (SELECT DISTINCT library,
           CASE WHEN library = 'logging' THEN coalesce(nullif(regexp_extract(snippet, '^logging\\.([a-z]+)\\(', 1), ''), 'unknown') END AS log_level,
-          snippet_id FROM wanted"""),
+          snippet_id, call_key FROM wanted)"""),
 }

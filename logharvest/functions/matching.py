@@ -21,7 +21,7 @@ def term_pattern(term: str, mode: str = "file") -> str:
     if mode == "file":
         return f"(?<![a-z0-9_]){body}(?![a-z0-9_])"
     if mode == "import":
-        return rf"(?m)^[ \t]*(?:import[ \t]+(?:[^#\n]*,[ \t]*)?|from[ \t]+){body}(?![a-z0-9_])"
+        return rf"(?m)(?:^|[;:])[ \t]*(?:import[ \t]+(?:[^#\n]*,[ \t]*)?|from[ \t]+){body}(?![a-z0-9_])"
     raise ValueError(f"mode must be 'file' or 'import', not {mode!r}")
 
 

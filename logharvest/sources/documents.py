@@ -9,8 +9,9 @@ splitting on it makes the file as parallel as JSON lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logharvest.operators.layout import computed_once
 from logharvest.schemas import LABEL_ENTRY
 
 _STRICT = {"allowSingleQuotes": "false"}
@@ -22,19 +23,40 @@ def read_json_array(
     """Records of a JSON array.
 
     ``indent`` is the column at which records start: 2 for an array written
-    with two-space indentation, 0 where records begin at the line start.
+    with two-space indentation, 0 where records begin at the line start. A file
+    with that indentation is read by many tasks; one in any other layout is
+    read whole, by one. Text that is no array of such records is an error.
     ``None`` reads files in any layout, each by a single task: for small files.
     """
     if indent is None:
         return spark.read.schema(schema).option("multiLine", True).json(path)
     pad = " " * indent
     pieces = spark.read.text(path, lineSep=f"\n{pad}}},\n{pad}{{\n")
-    # Only the first and the last piece still carry the brackets of the array.
-    body = F.regexp_replace("value", r"\A\s*\[\s*\{", "")
-    body = F.regexp_replace(body, rf"\n{pad}\}}\s*\]\s*\z", "")
-    has_record = F.col("body").rlike(r"\S") & ~F.col("body").rlike(r"\A\s*\[\s*\]\s*\z")
-    record = F.from_json(F.concat(F.lit("{"), F.col("body"), F.lit("}")), schema, _STRICT)
-    return pieces.select(body.alias("body")).filter(has_record).select(record.alias("r")).select("r.*")
+    value = F.regexp_replace("value", r"\A\x{FEFF}", "")
+    # A piece of a file in that layout: only the first and the last carry the brackets of the array.
+    first = F.regexp_replace(value, r"\A\s*\[", "")
+    opened = F.when(value.rlike(r"\A\s*\["), first).otherwise(F.concat(F.lit("{"), value))
+    is_last = value.rlike(rf"\n{pad}\}}\s*\]\s*\z")
+    piece = F.when(is_last, F.regexp_replace(opened, r"\]\s*\z", "")).otherwise(F.concat(opened, F.lit("}")))
+    # A file in any other layout is one piece, and holds all records.
+    closed = value.rlike(r"(?s)\A\s*\[.*\]\s*\z")
+    whole = F.when(closed, F.regexp_replace(first, r"\]\s*\z", "")).otherwise(F.lit("]"))
+
+    def parsed(text: Column) -> Column:
+        # Inside an object nothing can follow the records unnoticed.
+        options = _STRICT | {"columnNameOfCorruptRecord": "__bad"}
+        return F.from_json(
+            F.concat(F.lit('{"r": ['), text, F.lit("]}")), f"r ARRAY<STRUCT<{schema}>>, __bad STRING", options
+        )
+
+    filled = pieces.filter(value.rlike(r"\S"))
+    tried = computed_once(filled, "split", parsed(piece))
+    tried = computed_once(tried, "whole", F.when(F.col("split.__bad").isNotNull(), parsed(whole)))
+    fits = F.col("split.__bad").isNull()
+    records = F.when(fits, F.col("split.r")).when(F.col("whole.__bad").isNull(), F.col("whole.r")).otherwise(
+        F.raise_error(F.concat(F.lit("not a JSON array of such records: "), F.left("value", F.lit(200))))
+    )
+    return tried.select(F.explode(records).alias("r")).select("r.*")
 
 
 def read_json_map(

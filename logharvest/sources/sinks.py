@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from logharvest.operators.layout import with_row_index
 from logharvest.sources.tables import read_parquet_if_any
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", single_file: bool = False) -> None:
     """Headed CSV. ``single_file`` is for reports of a few rows."""
     df = df.coalesce(1) if single_file else df
     (
         df.write.mode("overwrite").option("header", True).option("sep", sep)
-        .option("quote", '"').option("escape", '"').csv(path)
+        .option("quote", '"').option("escape", '"')
+        # Spark's writer trims cells unless told not to.
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 
 
@@ -24,8 +33,37 @@ def join_lists(df: DataFrame, sep: str = ";") -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines, non-ASCII text kept as it is."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines, non-ASCII text and null fields kept as they are."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Each partition one JSON array, a record per line, null fields kept."""
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    _write_document(df.select(record.alias("value")), path, "[", "]")
+
+
+def write_json_map(df: DataFrame, path: str, key: str) -> None:
+    """Each partition one JSON object of entries by ``key``, an entry per line, null fields kept."""
+    name = F.regexp_extract(F.to_json(F.struct(F.col(key).cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    entry = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key]), {"ignoreNullFields": "false"})
+    _write_document(df.select(F.concat(name, F.lit(": "), entry).alias("value")), path, "{", "}")
+
+
+def _write_document(records: DataFrame, path: str, opening: str, closing: str) -> None:
+    """One text per record -> one document per partition, a batch in memory at a time."""
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A record is held back until it is known whether a comma follows it.
+        previous, comma = opening, ""
+        for batch in batches:
+            lines = []
+            for record in batch.column(0).to_pylist():
+                lines.append(previous + comma)
+                previous, comma = record, ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": [previous, closing]})
+
+    records.mapInArrow(document, "value STRING").write.mode("overwrite").text(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -38,14 +76,16 @@ write_metrics_row = write_report
 
 
 def write_files(files: DataFrame, path: str, by: str = "project_name") -> None:
-    """Matched files as Parquet, one folder per project.
+    """Matched files as Parquet, files of a project together.
 
-    Rebalanced by project: adaptive execution joins small projects into one
-    task, so that they do not become a file per task, and splits a project that
-    holds a large share of all files.
+    Rebalanced and sorted by project: a reader of one project skips the row
+    groups of others by their statistics. Adaptive execution joins small
+    projects into one task and splits one that holds a large share of all files.
+    The project stays a column, so that its name comes back as it was, and
+    there are no folders as many as projects.
     """
-    balanced = files.hint("rebalance", F.col(by))
-    balanced.write.mode("overwrite").partitionBy(by).parquet(path)
+    balanced = files.hint("rebalance", F.col(by)).sortWithinPartitions(by)
+    balanced.write.mode("overwrite").parquet(path)
 
 
 def append_unique(batch: DataFrame, path: str, key: str, batch_id: int) -> None:
@@ -53,12 +93,17 @@ def append_unique(batch: DataFrame, path: str, key: str, batch_id: int) -> None:
 
     The batch has its own folder, which a repeated run overwrites, and is
     compared with the other folders only: running it twice changes nothing.
-    Keys must be unique within the batch.
+    Of rows of the batch with one key, the least is kept; a null key is a key.
     """
+    rest = [c for c in batch.columns if c != key]
+    least = F.min(F.struct(*rest)).alias("__row") if rest else F.count(F.lit(1)).alias("__n")
+    batch = batch.groupBy(key).agg(least).select(
+        *[key if c == key else F.col("__row")[c].alias(c) for c in batch.columns])
     stored = read_parquet_if_any(batch.sparkSession, path)
     if stored is not None:
         others = stored.filter(F.col("batch_id") != batch_id).select(key)
-        batch = batch.join(others, key, "left_anti")
+        others = others.withColumnRenamed(key, "__stored")
+        batch = batch.join(others, F.col(key).eqNullSafe(F.col("__stored")), "left_anti")
     batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 

@@ -31,9 +31,14 @@ def read_table_csv(
     return reader.csv(path)
 
 
-def read_many_csv(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame:
-    """Several CSV files or globs, each with its own header, united by column name."""
-    return union_all([read_table_csv(spark, p, schema) for p in paths])
+def read_many_csv(
+    spark: SparkSession, paths: Sequence[str], schema: str | None = None, multiline: bool = True
+) -> DataFrame:
+    """Several CSV files or globs, each with its own header, united by column name.
+
+    ``multiline=False`` as in :func:`read_table_csv`: then large files are split.
+    """
+    return union_all([read_table_csv(spark, p, schema, multiline=multiline) for p in paths])
 
 
 def read_catalogue_parquet(spark: SparkSession, path: str) -> DataFrame:
