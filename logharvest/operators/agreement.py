@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logharvest.functions.text import empty_bucket
 
@@ -38,16 +38,26 @@ def annotations(
     snippet_id: str = "snippet_id",
     rating: str = "Agreement",
     smell: Sequence[str] = ("smell", "smell_category", "category"),
+    numeric: bool = False,
 ) -> DataFrame:
-    """Annotation table with columns found by name -> ``(snippet_id, smell, rating)``."""
+    """Annotation table with columns found by name -> ``(snippet_id, smell, rating)``.
+
+    Ratings are compared as text; with ``numeric`` as numbers, so that 1 and 1.0 agree.
+    """
+    value = F.col(require_column_ci(df, rating))
     category = find_column_ci(df.columns, smell)
     return df.select(
         F.col(require_column_ci(df, snippet_id)).alias("snippet_id"),
         (F.col(category) if category else F.lit(None)).cast("string").alias("smell"),
-        F.col(require_column_ci(df, rating)).cast("string").alias("rating"),
+        (value.cast("double") if numeric else value).cast("string").alias("rating"),
     )
 
 
+def both_numeric(a: DataFrame, b: DataFrame, rating: str = "Agreement") -> bool:
+    """Whether the ratings of both sides are numbers by type."""
+    return all(isinstance(df.schema[require_column_ci(df, rating)].dataType, T.NumericType) for df in (a, b))
+
+
 def pair_annotations(a: DataFrame, b: DataFrame, smell_from: str = "a") -> DataFrame:
     """``(snippet_id, smell, rating_a, rating_b, n_pairs)`` of matching ids."""
     def counted(df: DataFrame, side: str, with_smell: bool) -> DataFrame:
@@ -64,12 +74,16 @@ def pair_annotations(a: DataFrame, b: DataFrame, smell_from: str = "a") -> DataF
     )
 
 
-def merge_annotations(a: DataFrame, b: DataFrame, on_a: str, on_b: str) -> DataFrame:
+def merge_annotations(a: DataFrame, b: DataFrame, on_a: str, on_b: str, null_ids: bool = True) -> DataFrame:
     """All columns of matching rows; names on both sides get ``_a`` and ``_b``.
 
     Equal rows of a side are folded first; ``n_pairs`` says how many row pairs
-    a result row stands for (1 wherever ids are unique).
+    a result row stands for (1 wherever ids are unique). Rows without an id match
+    each other, every one on one side every one on the other; ``null_ids=False``
+    leaves them out.
     """
+    if not null_ids:
+        a, b = a.dropna(subset=[on_a]), b.dropna(subset=[on_b])
     shared = (set(a.columns) & set(b.columns)) - ({on_a} if on_a == on_b else set())
 
     def folded(df: DataFrame, side: str, on: str) -> tuple[DataFrame, list[str]]:
@@ -100,8 +114,13 @@ def both_present(pairs: DataFrame, a: str = "rating_a", b: str = "rating_b") ->
     return pairs.dropna(subset=[a, b])
 
 
-def disagreements(pairs: DataFrame, a: str = "rating_a", b: str = "rating_b") -> DataFrame:
-    return both_present(pairs, a, b).filter(F.col(a) != F.col(b))
+def disagreements(
+    pairs: DataFrame, a: str = "rating_a", b: str = "rating_b", numeric: bool | None = None
+) -> DataFrame:
+    """Pairs whose ratings differ: as numbers, as text, or (None) as the columns' types have it."""
+    kind = {None: None, True: "double", False: "string"}[numeric]
+    left, right = (F.col(c) if kind is None else F.col(c).cast(kind) for c in (a, b))
+    return both_present(pairs, a, b).filter(left != right)
 
 
 def _kappa(groups: Sequence[str], contingency: DataFrame, min_samples: int) -> DataFrame:
@@ -172,8 +191,11 @@ def cohen_kappa_by(pairs: DataFrame, min_samples: int = 2) -> DataFrame:
     return _kappa(["part", "smell"], counts, min_samples).orderBy("part", "smell").drop("part")
 
 
-def agreement_metadata(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of either side, row pairs, and pairs with both ratings."""
+def agreement_metadata(
+    a: DataFrame, b: DataFrame, pairs: DataFrame, file_a: str | None = None, file_b: str | None = None
+) -> DataFrame:
+    """Rows of either side, row pairs, and pairs with both ratings; the files' names where given."""
+    names = [F.lit(v).alias(k) for k, v in (("file_a", file_a), ("file_b", file_b)) if v is not None]
     def rows(df: DataFrame) -> Column:
         return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
@@ -182,7 +204,7 @@ def agreement_metadata(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFram
         F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("rows_merged_after_join"),
         F.coalesce(F.sum(F.when(rated, F.col("n_pairs"))), F.lit(0)).alias("rows_with_both_agreement"),
     ).select(
-        rows(a).alias("rows_file_a"), rows(b).alias("rows_file_b"),
+        *names, rows(a).alias("rows_file_a"), rows(b).alias("rows_file_b"),
         "rows_merged_after_join", "rows_with_both_agreement",
     )
 

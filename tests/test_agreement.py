@@ -109,3 +109,22 @@ def test_study_errors(spark):
 
 def test_duplicate_ids(spark, rows):
     assert rows(A.duplicate_ids(frame(spark, [("1", None, "y"), ("1", None, "n"), ("2", None, "y")]))) == [("1", 2)]
+
+
+def test_numbers_agree_as_numbers(spark, rows):
+    a = spark.createDataFrame([("1", 1), ("2", 0), ("3", 1)], "snippet_id string, Agreement int")
+    b = spark.createDataFrame([("1", 1.0), ("2", 0.0), ("3", 0.0)], "snippet_id string, Agreement double")
+    kappa, metadata, differing = compute_kappa(a, b, files=("x.csv", "y.csv"))
+    assert abs(kappa.filter("smell = 'ALL'").first().kappa - 0.4) < 1e-12
+    assert rows(differing, "Agreement_a", "Agreement_b") == [(1, 0.0)]
+    assert metadata.first().asDict() == {"file_a": "x.csv", "file_b": "y.csv", "rows_file_a": 3, "rows_file_b": 3,
+                                         "rows_merged_after_join": 3, "rows_with_both_agreement": 3}
+
+
+def test_rows_without_an_id_are_no_pairs_unless_asked(spark):
+    make = lambda value: spark.createDataFrame(
+        [(None, value, str(i)) for i in range(30)] + [("1", value, "x")], "snippet_id string, Agreement string, note string")
+    kappa, _, differing = compute_kappa(make("y"), make("n"))
+    assert differing.count() == 1
+    assert kappa.filter("smell = 'ALL'").first().n_samples == 901
+    assert compute_kappa(make("y"), make("n"), null_ids=True)[2].count() == 901
