@@ -176,6 +176,7 @@ WITH doc AS (
          f.lines_before, f.lines_after,
          'file_' || substr(md5(f.path), 1, 8) AS file_id,
          'snip_' || substr(md5(f.path || '_' || f.line_number || '_' || f.snippet), 1, 8) AS snippet_id,
+         md5(f.path || '_' || f.line_number || '_' || f.snippet) AS call_key, md5(f.path) AS file_key,
          row_number() OVER (PARTITION BY f.doc_id ORDER BY f.line_number) - 1 AS position
   FROM found f JOIN body b USING (doc_id)
 ), wanted AS (

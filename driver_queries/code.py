@@ -37,7 +37,7 @@ def _big(*names: str):
 # -- extraction --------------------------------------------------------------
 
 CALL_COLUMNS = [
-    "snippet_id", "file_id", "path", "project_name", "library", "library_type", "call_library",
+    "call_key", "file_key", "snippet_id", "file_id", "path", "project_name", "library", "library_type", "call_library",
     "snippet", "class", "function_name", "lines_before", "lines_after",
 ]
 
@@ -96,15 +96,16 @@ FROM wanted GROUP BY doc_id"""
 
 
 def exploded_dataset(spark, sf_dir):
-    return E.explode_calls(C.filter_file_calls(E.build_call_dataset(parsed(spark, sf_dir)))).select(
+    data = E.build_call_dataset(parsed(spark, sf_dir), bodies=False)
+    return E.explode_calls(C.filter_file_calls(data)).select(
         "library", "library_type", "snippet_id", "snippet", "class", "function_name",
-        "lines_before", "lines_after", *_big("line_number"),
+        "lines_before", "lines_after", F.md5("function").alias("function_md5"), *_big("line_number"),
     )
 
 
 EXPLODED_SQL = CORPUS_SQL + """
 SELECT library, library_type, snippet_id, snippet, class, function_name, lines_before, lines_after,
-       CAST(line_number AS BIGINT) AS line_number
+       md5(function) AS function_md5, CAST(line_number AS BIGINT) AS line_number
 FROM wanted"""
 
 
@@ -137,6 +138,24 @@ def unparsable_files(spark, sf_dir):
 UNPARSABLE_SQL = CORPUS_SQL + """
 SELECT path, split_part(path, '/', 1) AS project_name, 'SyntaxError' AS reason FROM content WHERE broken"""
 
+
+
+def refused_files(spark, sf_dir):
+    """Every file is parsed or refused: a third carries a byte order mark, an eighth is no UTF-8."""
+    files = source_files(spark, sf_dir)
+    number = F.regexp_extract("path", r"doc_([0-9]+)\.py$", 1).cast("bigint")
+    data = F.when(number % 8 == 0, F.concat(F.col("content").cast("binary"), F.unhex(F.lit("FF0A")))).when(
+        number % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.col("content").cast("binary"))
+    ).otherwise(F.col("content").cast("binary"))
+    every = E.parse_files(files.withColumn("content", data.cast("string")), keep_all=True)
+    return every.select(F.coalesce("facts.status", F.lit("none")).alias("status")).groupBy("status").agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+REFUSED_SQL = CORPUS_SQL + """
+SELECT CASE WHEN doc_id % 8 = 0 THEN 'no text' WHEN broken THEN 'SyntaxError' ELSE 'parsed' END AS status, count(*) AS count
+FROM content GROUP BY 1"""
+
 IMPORTED_SQL = CORPUS_SQL + """
 SELECT path, name, library FROM content, (VALUES
   ('general', 'logging', 'logging'), ('hybrid', 'logging', 'logging'), ('hybrid', 'wb', 'wandb'),
@@ -199,25 +218,32 @@ FROM calls GROUP BY 1, 2"""
 
 _UNIQUE_SQL = CORPUS_SQL + f""", u AS (
   SELECT library, CASE WHEN library = 'logging' THEN coalesce({_LEVEL_SQL}, 'unknown') END AS log_level,
-         snippet_id, trim(function) AS body
+         call_key, snippet_id, trim(function) AS body
   FROM wanted)
 """
 
 
+SHARDS = 4
+
+
 def unique_functions(spark, sf_dir):
-    lists = C.unique_functions(stored(wanted(spark, sf_dir), "calls"))
-    return lists.select(
+    """Each group's ids in four lists."""
+    lists = C.unique_functions(stored(wanted(spark, sf_dir), "calls"), SHARDS)
+    together = F.array_sort(F.flatten(F.collect_list("snippet_ids")))
+    return lists.groupBy("library", "log_level", "unique_function_count").agg(together.alias("ids")).select(
         "library", "log_level", "unique_function_count",
-        F.md5(F.array_join("snippet_ids", ";")).alias("ids_md5"),
-        F.size("snippet_ids").cast("bigint").alias("n_ids"),
+        F.md5(F.array_join("ids", ";")).alias("ids_md5"), F.size("ids").cast("bigint").alias("n_ids"),
     )
 
 
-UNIQUE_LISTS_SQL = _UNIQUE_SQL + """
-SELECT library, log_level, count(DISTINCT body) AS unique_function_count,
-       md5(string_agg(DISTINCT snippet_id, ';' ORDER BY snippet_id)) AS ids_md5,
-       count(DISTINCT snippet_id) AS n_ids
-FROM u GROUP BY library, log_level"""
+# A hash decides the list an id goes to, which is Spark's own; the lists of a
+# group are compared by what they hold together.
+UNIQUE_LISTS_SQL = _UNIQUE_SQL + """, ids AS (SELECT DISTINCT library, log_level, call_key, snippet_id FROM u)
+SELECT u.library, u.log_level, count(DISTINCT body) AS unique_function_count,
+       (SELECT md5(string_agg(snippet_id, ';' ORDER BY snippet_id)) FROM ids i
+        WHERE i.library IS NOT DISTINCT FROM u.library AND i.log_level IS NOT DISTINCT FROM u.log_level) AS ids_md5,
+       count(DISTINCT call_key) AS n_ids
+FROM u GROUP BY u.library, u.log_level"""
 
 
 # -- text preparation --------------------------------------------------------
@@ -389,7 +415,19 @@ SELECT l_orderkey AS path, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS pa
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"""
 
 
+def records_with_calls(spark, sf_dir):
+    """Nested records of all files, those without a call dropped."""
+    kept = F.filter("snippets", lambda s: F.contains(s["snippet"], F.lit("error")))
+    data = E.build_call_dataset(parsed(spark, sf_dir)).withColumn("snippets", kept)
+    return E.only_with_calls(data).select("id", F.size("snippets").cast("bigint").alias("n_snippets"))
+
+
+RECORDS_SQL = CORPUS_SQL + """
+SELECT file_id AS id, count(*) AS n_snippets FROM calls WHERE contains(snippet, 'error') GROUP BY file_id"""
+
 QUERIES = {
+    "refused_files": (refused_files, REFUSED_SQL),
+    "records_with_calls": (records_with_calls, RECORDS_SQL),
     "extracted_calls": (extracted_calls, EXTRACTED_SQL),
     "call_dataset": (call_dataset, CALL_DATASET_SQL),
     "exploded_dataset": (exploded_dataset, EXPLODED_SQL),
@@ -428,7 +466,7 @@ QUERIES = {
         _UNIQUE_SQL + "SELECT library, log_level, count(DISTINCT body) AS unique_function_count FROM u GROUP BY 1, 2"),
     "unique_function_ids": (
         over(C.unique_function_ids, wanted),
-        _UNIQUE_SQL + "SELECT DISTINCT library, log_level, snippet_id FROM u"),
+        _UNIQUE_SQL + "SELECT DISTINCT library, log_level, call_key, snippet_id FROM u"),
     "unique_function_lists": (unique_functions, UNIQUE_LISTS_SQL),
     "stripped_comments": (stripped_comments, STRIPPED_SQL),
     "stripped_document_comments": (stripped_document_comments, STRIPPED_DOCUMENTS_SQL),

@@ -26,22 +26,22 @@ FROM documents"""
 
 
 def label_join(spark, sf_dir):
-    """First turns ask, second turns answer; every third answer was an error."""
+    """Every turn asks, and the next one answers; every third answer was an error."""
     turns = table(spark, sf_dir, "conversations")
-    asked = turns.filter("turn = 0").select(F.col("conv_id").alias("snippet_id"), F.col("text").alias("function"))
+    named = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    asked = turns.select(named(F.col("turn")).alias("snippet_id"), F.col("text").alias("function"))
     failed = F.col("conv_id") % 3 == 0
-    answers = turns.filter("turn = 1").select(
-        F.col("conv_id").alias("snippet_id"),
+    answers = turns.filter("turn > 0").select(
+        named(F.col("turn") - 1).alias("snippet_id"),
         F.when(~failed, F.col("text")).alias("response"),
         F.when(failed, F.col("role")).alias("error"))
     return O.label_join(asked, answers)
 
 
 _JOIN_SQL = """
-SELECT q.conv_id AS snippet_id, q.text AS function,
+SELECT q.conv_id || '-' || q.turn AS snippet_id, q.text AS function,
        CASE WHEN a.conv_id IS NULL THEN NULL WHEN a.conv_id % 3 = 0 THEN 'LLM error: ' || a.role ELSE a.text END AS llm_output
-FROM (SELECT * FROM conversations WHERE turn = 0) q
-LEFT JOIN (SELECT * FROM conversations WHERE turn = 1) a ON q.conv_id = a.conv_id"""
+FROM conversations q LEFT JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1"""
 
 
 def _answer():

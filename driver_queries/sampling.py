@@ -63,19 +63,19 @@ def sampled_calls(spark, sf_dir):
 _PLAN_CASE = " ".join(
     f"WHEN library = 'logging' AND log_level = '{level}' THEN {n}"
     for level, n in [("warning", 293), ("info", 477), ("exception", 92), ("debug", 227), ("error", 232), ("critical", 18)])
-# Ids are 32-bit; one shared by two strata goes to the first in plan order.
+# A call found in two strata goes to the first in plan order.
 _SAMPLED_SQL = _UNIQUE_SQL + f""", ids AS (
-  SELECT DISTINCT library, CASE WHEN log_level = 'warn' THEN 'warning' ELSE log_level END AS log_level, snippet_id FROM u
+  SELECT DISTINCT library, CASE WHEN log_level = 'warn' THEN 'warning' ELSE log_level END AS log_level, call_key, snippet_id FROM u
 ), s AS (
   SELECT *, CASE {_PLAN_CASE} WHEN library = 'mlflow' THEN 215 WHEN library = 'wandb' THEN 237 END AS quota,
-         row_number() OVER (PARTITION BY snippet_id ORDER BY
+         row_number() OVER (PARTITION BY call_key ORDER BY
            CASE WHEN log_level = 'warning' THEN 0 WHEN library = 'wandb' THEN 1 WHEN library = 'mlflow' THEN 2
                 WHEN log_level = 'info' THEN 3 WHEN log_level = 'exception' THEN 4 WHEN log_level = 'debug' THEN 5
                 WHEN log_level = 'error' THEN 6 ELSE 7 END) AS choice
   FROM ids WHERE CASE {_PLAN_CASE} WHEN library IN ('mlflow', 'wandb') THEN 1 END IS NOT NULL
 )
-SELECT library, log_level, snippet_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY library, log_level ORDER BY {_KEY.format('snippet_id')}, snippet_id) AS rn
+SELECT library, log_level, call_key, snippet_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY library, log_level ORDER BY {_KEY.format('call_key')}, call_key) AS rn
   FROM s WHERE choice = 1) WHERE rn <= quota"""
 
 
@@ -127,23 +127,23 @@ def chosen_functions(spark, sf_dir):
     calls = stored(wanted(spark, sf_dir), "calls")
     chosen = W.balanced_sample(C.unique_function_ids(calls), 60, SEED)
     found = W.functions_for_ids(calls, chosen)
-    return found.select("snippet_id", F.md5("function").alias("function_md5"))
+    return found.select("call_key", "snippet_id", F.md5("function").alias("function_md5"))
 
 
-_CHOSEN_SQL = _UNIQUE_SQL + f""", ids AS (SELECT DISTINCT library, log_level, snippet_id FROM u),
-k AS (SELECT library, snippet_id, {_KEY.format('snippet_id')} AS key FROM ids),
+_CHOSEN_SQL = _UNIQUE_SQL + f""", ids AS (SELECT DISTINCT library, log_level, call_key FROM u),
+k AS (SELECT library, call_key, {_KEY.format('call_key')} AS key FROM ids),
 even AS (
-  SELECT snippet_id FROM (SELECT *, row_number() OVER (PARTITION BY library ORDER BY key, snippet_id) AS rn FROM k)
+  SELECT call_key FROM (SELECT *, row_number() OVER (PARTITION BY library ORDER BY key, call_key) AS rn FROM k)
   WHERE rn <= greatest(1, 60 // (SELECT count(DISTINCT library) FROM k))
 ), fill AS (
-  SELECT snippet_id, row_number() OVER (ORDER BY key, snippet_id) AS rn FROM k
-  WHERE snippet_id NOT IN (SELECT snippet_id FROM even)
+  SELECT call_key, row_number() OVER (ORDER BY key, call_key) AS rn FROM k
+  WHERE call_key NOT IN (SELECT call_key FROM even)
 ), chosen AS (
-  SELECT snippet_id FROM even
-  UNION ALL SELECT snippet_id FROM fill WHERE rn <= 60 - (SELECT count(*) FROM even)
+  SELECT call_key FROM even
+  UNION ALL SELECT call_key FROM fill WHERE rn <= 60 - (SELECT count(*) FROM even)
 )
-SELECT snippet_id, md5(arg_max(function, (path, position))) AS function_md5
-FROM wanted WHERE snippet_id IN (SELECT snippet_id FROM chosen) GROUP BY snippet_id"""
+SELECT call_key, any_value(snippet_id) AS snippet_id, md5(arg_max(function, (path, position))) AS function_md5
+FROM wanted WHERE call_key IN (SELECT call_key FROM chosen) GROUP BY call_key"""
 
 
 def last_turns(spark, sf_dir):

@@ -142,6 +142,20 @@ def snippet_id(
     )
 
 
+def call_key(path: Column | str, line: Column | str, snippet: Column | str) -> Column:
+    """The whole digest behind a ``snippet_id``: what calls are joined and counted on."""
+    return F.md5(F.concat_ws("_", col(path), col(line).cast("string"), col(snippet)))
+
+
+def file_key(path: Column | str) -> Column:
+    return F.md5(col(path))
+
+
+def id_columns(df) -> list[str]:
+    """Columns that identify a call, the deciding one first; ``snippet_id`` alone is for show and may collide."""
+    return [c for c in ("call_key", "snippet_id") if c in df.columns]
+
+
 def file_id(path: Column | str, short: bool = True) -> Column:
     return _digest("file_", col(path), short)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logharvest import dictionaries as D
 from logharvest.functions import calls as C
-from logharvest.functions.text import strip
+from logharvest.functions.text import id_columns, strip
 from logharvest.operators.facts import facts_udf
 from logharvest.operators.layout import computed_once
 
@@ -16,7 +16,9 @@ from logharvest.operators.layout import computed_once
 # -- filters ----------------------------------------------------------------
 
 def in_function_only(calls: DataFrame) -> DataFrame:
-    return calls.filter(C.in_function("function_name", "function"))
+    """Calls within a function; told by a flag where there is one, so that bodies are not read."""
+    flag = "in_function" in calls.columns
+    return calls.filter(F.col("in_function") if flag else C.in_function("function_name", "function"))
 
 
 def filter_calls(calls: DataFrame, prefixes: Sequence[str] | None = None) -> DataFrame:
@@ -29,14 +31,19 @@ def filter_file_calls(file_calls: DataFrame, prefixes: Sequence[str] | None = No
 
     Works inside each row, so neither the file texts nor the calls are moved.
     """
+    once = "functions" in file_calls.columns
+
     def keep(s: Column) -> Column:
-        inside = C.in_function(s["context"]["function_name"], s["context"]["function"])
+        if once:
+            inside = s["context"]["function_ix"].isNotNull()
+        else:
+            inside = C.in_function(s["context"]["function_name"], s["context"]["function"])
         return inside & C.is_wanted_call(s["snippet"], prefixes)
 
     # Computed once, for the size test and for the result.
     kept = computed_once(file_calls, "kept", F.filter("snippets", keep))
     return kept.filter(F.size("kept") > 0).select(
-        "library", "library_type", F.col("kept").alias("snippets")
+        "library", "library_type", F.col("kept").alias("snippets"), *(["functions"] if once else [])
     )
 
 
@@ -160,7 +167,7 @@ def _grouped_calls(calls: DataFrame) -> DataFrame:
         F.col("library") == "logging", F.coalesce(C.log_level("snippet"), F.lit("unknown"))
     )
     rows = calls.filter(F.col("snippet_id") != "").select(
-        "library", level.alias("log_level"), "snippet_id",
+        "library", level.alias("log_level"), *id_columns(calls),
         function_digest(calls, trimmed=True).alias("digest"),
     )
     return rows.filter(F.col("digest").isNotNull())
@@ -177,34 +184,31 @@ def unique_function_counts(calls: DataFrame) -> DataFrame:
 
 def unique_function_ids(calls: DataFrame) -> DataFrame:
     """The call ids behind the counts, one row per id."""
-    return _grouped_calls(calls).select("library", "log_level", "snippet_id").distinct()
+    return _grouped_calls(calls).select("library", "log_level", *id_columns(calls)).distinct()
 
 
-def unique_functions(calls: DataFrame, max_ids: int = 100_000) -> DataFrame:
+def unique_functions(calls: DataFrame, shards: int = 1) -> DataFrame:
     """Counts with sorted id lists: ``(library, log_level, part, unique_function_count, snippet_ids)``.
 
-    A group of up to ``max_ids`` ids is one row (``part`` 0). A larger group is
-    dealt over as many parts as it takes, by id hash, so that no list, and no
-    task building one, grows with the corpus. Nothing is left out.
+    Every group is dealt over ``shards`` lists by a hash of its ids, whatever its
+    size; a list has one entry per call, also where short ids collide. For ids
+    without lists, which no group makes too long for a row, join
+    ``unique_function_ids`` with ``unique_function_counts``.
     """
+    keys = id_columns(calls)
     grouped = _grouped_calls(calls)
     counts = grouped.groupBy("library", "log_level").agg(
-        F.count_distinct("digest").alias("unique_function_count"),
-        F.count_distinct("snippet_id").alias("n_ids"),
+        F.count_distinct("digest").alias("unique_function_count")
+    )
+    listed = (
+        grouped.select("library", "log_level", *keys).distinct()
+        .groupBy("library", "log_level", F.pmod(F.xxhash64(keys[0]), F.lit(shards)).alias("part"))
+        .agg(F.array_sort(F.collect_list("snippet_id")).alias("snippet_ids"))
     )
-    ids = grouped.select("library", "log_level", "snippet_id").distinct()
-    same_group = ids["library"].eqNullSafe(counts["library"]) & ids["log_level"].eqNullSafe(
+    # A few rows on either side: groups, and groups times shards.
+    same_group = listed["library"].eqNullSafe(counts["library"]) & listed["log_level"].eqNullSafe(
         counts["log_level"]
     )
-    parts = F.ceil(F.col("n_ids") / F.lit(max_ids)).cast("bigint")
-    # No hint: the counts are few where libraries come from a dictionary, which
-    # adaptive execution sees by their size; otherwise it splits the large groups.
-    return (
-        ids.join(counts, same_group)
-        .select(
-            ids["library"], ids["log_level"], "unique_function_count", "snippet_id",
-            F.pmod(F.xxhash64("snippet_id"), parts).alias("part"),
-        )
-        .groupBy("library", "log_level", "part", "unique_function_count")
-        .agg(F.array_sort(F.collect_list("snippet_id")).alias("snippet_ids"))
+    return listed.join(counts, same_group).select(
+        listed["library"], listed["log_level"], "part", "unique_function_count", "snippet_ids"
     )

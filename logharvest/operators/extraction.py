@@ -18,8 +18,9 @@ from logharvest.operators.layout import computed_once
 
 
 def mentions_library(content: Column | str, libraries: Sequence[str] = D.LIBRARIES) -> Column:
-    """Cheap test in front of the parser that never loses a file with a call:
-    an imported module's name and the word ``import`` are both in its text."""
+    """Cheap test in front of the parser. A readable file with a call passes: an
+    imported module's name and the word ``import`` are both in its text. What
+    the parser then refuses is told by ``unparsable_files``."""
     content = X.col(content)
     names = "|".join(java_quote(name) for name in libraries)
     return F.contains(content, F.lit("import")) & content.rlike(names)
@@ -39,9 +40,13 @@ def parse_files(
     unless ``keep_all`` asks for a status of every file.
     """
     if not keep_all:
-        files = files.filter(mentions_library("content", libraries))
+        # Files without a text, such as undecodable ones, pass and are refused by name.
+        files = files.filter(F.col("content").isNull() | mentions_library("content", libraries))
     # Bytes that are no UTF-8 cannot be handed to the parser; they become null.
-    files = files.withColumn("content", F.try_validate_utf8(X.unix_newlines("content")))
+    text = F.try_validate_utf8(X.unix_newlines("content"))
+    # A byte order mark is no part of a program.
+    bare = F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    files = files.withColumn("content", bare)
     facts = facts_udf(libraries, absolute_only, with_async)
     relative = X.relative_path("path", root) if root else F.col("path")
     return files.select(
@@ -70,6 +75,7 @@ def _used_libraries() -> Column:
 def _snippet(call: Column, path: Column, lines: Column) -> dict[str, Column]:
     """Columns of a call, from its facts and the lines of its file."""
     return {
+        "call_key": X.call_key(path, call["line"], call["text"]),
         "snippet_id": X.snippet_id(path, call["line"], call["text"]),
         "snippet": X.strip(call["text"]),
         "class": call["class_name"],
@@ -128,24 +134,35 @@ def extract_calls(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARIE
     columns = _snippet(call, F.col("path"), F.col("lines"))
     columns |= {name: F.get(F.col(c), call["function_ix"]) for name, c in of_function.items()}
     return exploded.select(
-        X.file_id("path").alias("file_id"),
+        X.file_key("path").alias("file_key"), X.file_id("path").alias("file_id"),
         "path", "file_path", "project_name", "library", "library_type", "position",
-        call["library"].alias("call_library"),
+        call["library"].alias("call_library"), call["function_ix"].isNotNull().alias("in_function"),
         *[c.alias(name) for name, c in columns.items()],
     )
 
 
 def build_call_dataset(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARIES,
-                       libraries: Sequence[str] = D.LIBRARIES) -> DataFrame:
-    """One row per file with calls, the calls nested in line order."""
+                       libraries: Sequence[str] = D.LIBRARIES, bodies: bool = True) -> DataFrame:
+    """One row per file with calls, the calls nested in line order.
+
+    With ``bodies`` every call carries the text of its function, as the JSON
+    form of the data set does. Without, the row holds each function once, in
+    ``functions``, and a call its number there, ``context.function_ix``; such a
+    row is no longer than its file allows, however many calls share a function.
+    ``with_bodies`` makes the first form of the second.
+    """
     lines, functions = F.col("lines"), F.col("facts.functions")
+    body = "function" if bodies else "function_ix"
+    texts = F.transform(functions, lambda f: _function_text(f, lines)).alias("functions")
 
     def nested(call: Column) -> Column:
         c = _snippet(call, F.col("path"), lines)
         owner = F.get(functions, call["function_ix"])
-        c |= {"function_name": owner["name"], "function": _function_text(owner, lines)}
-        context = ["class", "function_name", "function", "lines_before", "lines_after"]
+        text = _function_text(owner, lines) if bodies else call["function_ix"]
+        c |= {"function_name": owner["name"], body: text}
+        context = ["class", "function_name", body, "lines_before", "lines_after"]
         return F.struct(
+            c["call_key"].alias("call_key"),
             c["snippet_id"].alias("snippet_id"),
             c["snippet"].alias("snippet"),
             F.struct(*[c[name].alias(name) for name in context]).alias("context"),
@@ -161,24 +178,47 @@ def build_call_dataset(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIB
         "library",
         "library_type",
         F.col("content").alias("python_file_content"),
-        F.transform("facts.calls", nested).alias("snippets"),
+        F.transform("facts.calls", nested).alias("snippets"), *([] if bodies else [texts]),
         F.col("facts.n_functions").alias("n_functions"),
         F.col("facts.n_classes").alias("n_classes"),
     )
 
 
+def with_bodies(file_calls: DataFrame) -> DataFrame:
+    """Function texts in every call again, for sinks that want them there."""
+    functions = F.col("functions")
+
+    def expanded(s: Column) -> Column:
+        c = s["context"]
+        context = F.struct(
+            c["class"].alias("class"), c["function_name"].alias("function_name"),
+            F.get(functions, c["function_ix"]).alias("function"),
+            c["lines_before"].alias("lines_before"), c["lines_after"].alias("lines_after"))
+        return s.withField("context", context)
+
+    return file_calls.withColumn("snippets", F.transform("snippets", expanded)).drop("functions")
+
+
 def explode_calls(file_calls: DataFrame) -> DataFrame:
     """Nested call records (full or filtered) -> one row per call."""
     kept = [c for c in ("id", "project_name", "file_path") if c in file_calls.columns]
+    # Records written before there were whole digests have the short id only.
+    keyed = "call_key" in file_calls.schema["snippets"].dataType.elementType.fieldNames()
+    short = F.col("s.snippet_id")
+    once = "functions" in file_calls.columns
+    function = F.get(F.col("functions"), F.col("s.context.function_ix")) if once else F.col("s.context.function")
+    flag = [F.col("s.context.function_ix").isNotNull().alias("in_function")] if once else []
     rows = file_calls.select(
-        *kept, "library", "library_type", F.posexplode("snippets").alias("position", "s")
+        *kept, *(["functions"] if once else []), "library", "library_type", F.posexplode("snippets").alias("position", "s")
     )
     context = ["class", "function_name", "function", "lines_before", "lines_after"]
     return rows.select(
         *kept, "library", "library_type", "position",
-        F.col("s.snippet_id").alias("snippet_id"),
+        (F.coalesce("s.call_key", short) if keyed else short).alias("call_key"),
+        short.alias("snippet_id"),
         F.col("s.snippet").alias("snippet"),
-        *[F.col(f"s.context.{c}").alias(c) for c in context],
+        *[function.alias(c) if c == "function" else F.col(f"s.context.{c}").alias(c) for c in context],
+        *flag,
         F.col("s.line_number").alias("line_number"),
     )
 

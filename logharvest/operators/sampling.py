@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logharvest import dictionaries as D
+from logharvest.functions.text import id_columns
+from logharvest.session import stored
 
 Plan = Sequence[tuple[str, "str | None", int]]
 
@@ -83,7 +85,7 @@ def _quota(strata: Plan, stratum: Column) -> Column:
 
 
 def stratified_sample(
-    ids: DataFrame, plan: Plan = tuple(D.SAMPLE_PLAN), seed: int = 42, id_col: str = "snippet_id"
+    ids: DataFrame, plan: Plan = tuple(D.SAMPLE_PLAN), seed: int = 42, id_col: str | None = None
 ) -> DataFrame:
     """Up to the planned number of ids per (library, level); groups not larger
     than their quota are kept whole, strata outside the plan are left out.
@@ -91,6 +93,7 @@ def stratified_sample(
     An id found in several strata belongs to the first one, so the sample never
     holds an id twice.
     """
+    id_col = id_col or id_columns(ids)[0]
     columns, strata = ids.columns, _strata(plan)
     df = merge_strata(ids)
     stratum = _stratum(strata, F.col("library"), F.col("log_level"))
@@ -123,8 +126,13 @@ def add_default_column(df: DataFrame, name: str = "selected", value: str = "no")
     return df if name in df.columns else df.withColumn(name, F.lit(value))
 
 
-def flag_selected(df: DataFrame, chosen: DataFrame, id_col: str = "snippet_id") -> DataFrame:
+def _common_id(a: DataFrame, b: DataFrame) -> str:
+    return next(c for c in id_columns(a) if c in b.columns)
+
+
+def flag_selected(df: DataFrame, chosen: DataFrame, id_col: str | None = None) -> DataFrame:
     """``selected = 'yes'`` where the id was chosen; other rows keep their flag."""
+    id_col = id_col or _common_id(df, chosen)
     marks = chosen.select(F.col(id_col).alias("__id")).distinct().withColumn("__hit", F.lit(True))
     flagged = df.join(marks, F.col(id_col) == F.col("__id"), "left")
     selected = F.when(F.col("__hit"), "yes").otherwise(F.col("selected"))
@@ -132,7 +140,7 @@ def flag_selected(df: DataFrame, chosen: DataFrame, id_col: str = "snippet_id")
 
 
 def balanced_sample(
-    df: DataFrame, size: int = D.LABEL_SAMPLE_SIZE, seed: int = 42, id_col: str = "snippet_id",
+    df: DataFrame, size: int = D.LABEL_SAMPLE_SIZE, seed: int = 42, id_col: str | None = None,
     group: str = "library",
 ) -> DataFrame:
     """Ids spread evenly over libraries, then filled at random up to ``size``.
@@ -144,12 +152,15 @@ def balanced_sample(
     Both steps take ids in key order, so every id they can take is among the
     first ``size`` of its library; all else is settled on those few.
     """
+    id_col = id_col or id_columns(df)[0]
+    ids = list(dict.fromkeys([id_col, *id_columns(df)]))
     open_rows = (
         add_default_column(df).filter(F.col("selected") == "no")
-        .select(group, id_col, sample_key(id_col, seed).alias("__key"))
+        .select(group, *ids, sample_key(id_col, seed).alias("__key"))
     )
     order = [F.col("__key"), F.col(id_col)]
-    nearest = top_per_group(open_rows, [group], order, size, bound=size)
+    # At most ``size`` rows per group, read by three branches.
+    nearest = stored(top_per_group(open_rows, [group], order, size, bound=size), "nearest")
 
     def count(condition: Column) -> Column:
         return nearest.agg(F.count_if(condition).alias("n")).scalar()
@@ -164,11 +175,12 @@ def balanced_sample(
     filled = spare.withColumn("rank", F.row_number().over(Window.orderBy(*order))).filter(
         F.col("rank") <= missing
     )
-    return nearest.filter(even).select(id_col).unionByName(filled.select(id_col))
+    return nearest.filter(even).select(*ids).unionByName(filled.select(*ids))
 
 
-def exclude_used(df: DataFrame, used: DataFrame, on: str = "snippet_id") -> DataFrame:
+def exclude_used(df: DataFrame, used: DataFrame, on: str | None = None) -> DataFrame:
     """Rows whose id is not in ``used``."""
+    on = on or _common_id(df, used)
     return df.join(used.select(on).distinct(), on, "left_anti")
 
 
@@ -181,7 +193,7 @@ def functions_for_ids(
     calls: DataFrame, ids: DataFrame, order: Sequence[str] = ("file_path", "position")
 ) -> DataFrame:
     """Function text of the chosen calls; the last one stored wins."""
-    wanted = calls.filter(F.col("function") != "").join(
-        ids.select("snippet_id"), "snippet_id", "left_semi"
-    )
-    return last_wins(wanted, "snippet_id", "function", order)
+    key = _common_id(calls, ids)
+    wanted = calls.filter(F.col("function") != "").join(ids.select(key), key, "left_semi")
+    shown = [F.any_value(c).alias(c) for c in id_columns(calls) if c != key]
+    return wanted.groupBy(key).agg(*shown, F.max_by("function", F.struct(*order)).alias("function"))

@@ -8,24 +8,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logharvest import dictionaries as D
-from logharvest.functions.text import strip_leading_comments
+from logharvest.functions.text import id_columns, strip_leading_comments
 from logharvest.operators import calls as C
 from logharvest.operators import extraction as X
 from logharvest.operators import labels as L
 from logharvest.operators import sampling as W
-from logharvest.operators.notebooks import flatten_notebooks
+from logharvest.operators.notebooks import broken_notebooks, flatten_notebooks
+from logharvest.session import stored
 from logharvest.sources import sinks
 from logharvest.sources.code import read_notebook_tree, read_source_tree
 
 
 def ingest(spark: SparkSession, root: str, target: str, notebooks: bool = True) -> DataFrame:
-    """Source files, and notebooks as source files, into one Parquet table."""
+    """Source files, and notebooks as source files, into one Parquet table; notebooks
+    that cannot be read go to ``<target>-broken``."""
     files = read_source_tree(spark, root)
     if notebooks:
-        files = files.unionByName(flatten_notebooks(read_notebook_tree(spark, root)))
+        books = read_notebook_tree(spark, root)
+        broken_notebooks(books).write.mode("overwrite").parquet(f"{target.rstrip('/')}-broken")
+        files = files.unionByName(flatten_notebooks(books))
     files.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
@@ -44,9 +48,13 @@ def create_dataset(
     spark: SparkSession, files: DataFrame, target: str, root: str | None = None,
     libraries: Sequence[str] = tuple(D.LIBRARIES),
 ) -> DataFrame:
-    """Parse once and store the nested data set."""
-    parsed = X.parse_files(files, libraries, root=root)
-    X.build_call_dataset(parsed, libraries=libraries).write.mode("overwrite").parquet(target)
+    """Store the nested data set, and beside it, in ``<target>-refused``, the files
+    that name a library but cannot be parsed or decoded."""
+    # Stored: parsing costs far more than reading what was parsed.
+    parsed = stored(X.parse_files(files, libraries, root=root), "parsed")
+    refused = X.unparsable_files(parsed)
+    refused.write.mode("overwrite").parquet(f"{target.rstrip('/')}-refused")
+    X.build_call_dataset(parsed, libraries=libraries, bodies=False).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
@@ -55,6 +63,7 @@ def analyze(dataset: DataFrame, target: str) -> None:
 
 
 def filter_dataset(spark: SparkSession, dataset: DataFrame, target: str) -> DataFrame:
+    """The wanted calls, nested; each file's functions once (``extraction.with_bodies`` for JSON)."""
     C.filter_file_calls(dataset).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
@@ -71,11 +80,13 @@ def sample(filtered: DataFrame, target: str, seed: int = 42) -> None:
     calls = X.explode_calls(filtered)
     counts = C.unique_function_counts(calls)
     ids = C.unique_function_ids(calls)
-    same = ids["library"].eqNullSafe(counts["library"]) & ids["log_level"].eqNullSafe(counts["log_level"])
-    rows = ids.join(counts, same).select(
-        ids["library"], ids["log_level"], "unique_function_count", "snippet_id"
+    # Drawn first: the counts join a sample, not all ids. They belong to the level as it was.
+    drawn = W.stratified_sample(ids.withColumn("own_level", F.col("log_level")), seed=seed)
+    same = drawn["library"].eqNullSafe(counts["library"]) & drawn["own_level"].eqNullSafe(counts["log_level"])
+    rows = drawn.join(counts, same).select(
+        drawn["library"], drawn["log_level"], "unique_function_count", *reversed(id_columns(ids))
     )
-    sinks.write_csv(W.stratified_sample(rows, seed=seed), target)
+    sinks.write_csv(rows, target)
 
 
 def prompts(filtered: DataFrame, samples: DataFrame, size: int = D.LABEL_SAMPLE_SIZE, seed: int = 42) -> DataFrame:

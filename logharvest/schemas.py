@@ -19,6 +19,10 @@ FILE_CALLS = (
 
 FILTERED_FILE_CALLS = f"library STRING, library_type STRING, snippets ARRAY<{SNIPPET}>"
 
+# As written here: calls carry their whole digest too.
+KEYED_SNIPPET = SNIPPET.replace("STRUCT<", "STRUCT<call_key: STRING, ", 1)
+KEYED_FILTERED_FILE_CALLS = FILTERED_FILE_CALLS.replace(SNIPPET, KEYED_SNIPPET)
+
 FRAMEWORK_MATCHES = (
     "repository_full_name STRING, matched_framework STRING, matched_term STRING, "
     "matched_file_name STRING, matched_file_path STRING, priority INT"

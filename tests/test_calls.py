@@ -52,7 +52,7 @@ def test_unique_functions(calls, rows):
 def test_unique_function_lists_split_large_groups_without_loss(spark, rows):
     ids = [f"id{i:05d}" for i in range(1000)]
     calls = spark.createDataFrame([(i, "wandb.log(1)", "wandb", "t", "f", "body") for i in ids], FLAT)
-    parts = C.unique_functions(calls, max_ids=100).collect()
+    parts = C.unique_functions(calls, shards=10).collect()
     assert len(parts) == 10
     assert sorted(i for p in parts for i in p.snippet_ids) == ids
     assert all(p.snippet_ids == sorted(p.snippet_ids) and p.unique_function_count == 1 for p in parts)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logharvest import dictionaries as D
+from logharvest.operators import calls as C
 from logharvest.operators import extraction as E
 from logharvest.operators.facts import file_facts
 from logharvest.operators.notebooks import broken_notebooks, flatten_notebooks
@@ -244,3 +245,48 @@ def test_notebooks(spark, rows):
         ("a/o.py", "a = 1\n"),
     ]
     assert rows(broken_notebooks(books)) == [("a/bad.py",), ("a/no.py",)]
+
+
+def test_a_byte_order_mark_is_no_part_of_the_program(spark, rows):
+    files = spark.createDataFrame([("a.py", "\ufeffimport logging\nlogging.info(1)\n"), ("b.py", None)], "path string, content string")
+    parsed = E.parse_files(files)
+    assert rows(E.extract_calls(parsed), "path", "snippet") == [("a.py", "logging.info(1)")]
+    assert rows(E.unparsable_files(parsed), "path", "reason") == [("b.py", "no text")]
+
+
+def test_a_row_of_the_data_set_is_linear_in_its_file(spark, tmp_path):
+    """Many calls in one large function: its text is there once, and comes back at the sink."""
+    body = "\n".join(f"    logging.info({i})" for i in range(3000))
+    files = spark.createDataFrame([("a.py", f"import logging\ndef f():\n{body}\n")], "path string, content string")
+    data = E.build_call_dataset(E.parse_files(files), bodies=False)
+    content, = data.select("python_file_content").first()
+    size, n = data.select(F.length(F.to_json(F.struct("snippets", "functions"))), F.size("snippets")).first()
+    assert n == 3000 and size < 20 * len(content)
+    whole = E.build_call_dataset(E.parse_files(files))
+    one = F.element_at("snippets", 3000)
+    assert E.with_bodies(data).select(one.alias("s")).first() == whole.select(one.alias("s")).first()
+    kept = C.filter_file_calls(data)
+    assert E.explode_calls(kept).where(F.length("function") > 30_000).count() == 3000
+
+
+def test_calls_with_one_short_id_stay_apart(spark, rows):
+    """Everything that counts, lists, samples and joins calls goes by the whole digest."""
+    from logharvest.operators import labels as L, sampling as W
+
+    calls = spark.createDataFrame(
+        [(f"{i:032x}", "snip_00000000", "wandb.log(1)", "wandb", "t", "f", f"body {i}", "p", i) for i in range(3)],
+        "call_key string, snippet_id string, snippet string, library string, library_type string, function_name string, "
+        "function string, file_path string, position int")
+    ids = C.unique_function_ids(calls)
+    assert ids.count() == 3
+    assert C.unique_functions(calls).first().snippet_ids == ["snip_00000000"] * 3
+    assert W.stratified_sample(ids).count() == 3
+    chosen = W.balanced_sample(ids, 2)
+    assert chosen.count() == 2 and chosen.columns == ["call_key", "snippet_id"]
+    assert W.exclude_used(ids, chosen).count() == 1
+    assert W.flag_selected(W.add_default_column(ids), chosen).where("selected = 'yes'").count() == 2
+    functions = W.functions_for_ids(calls, ids)
+    assert rows(functions, "function") == [("body 0",), ("body 1",), ("body 2",)]
+    answers = functions.select("call_key", F.lit(None).cast("string").alias("error"), F.col("function").alias("response"))
+    joined = L.label_join(functions, answers)
+    assert joined.where("llm_output = function").count() == joined.count() == 3
