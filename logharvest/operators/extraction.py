@@ -248,21 +248,45 @@ def imported_names(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.explode("facts.imported").alias("name", "library"))
 
 
+_LEVELS = 31
+
+
+def _blocks(first: Column, last: Column) -> Column:
+    """Aligned blocks ``(level, block)`` of 2^level lines that together are the lines ``first``..``last``."""
+    start, stop = first.cast("bigint"), last.cast("bigint") + 1
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        low, high = F.ceil(start / size), F.floor(stop / size)
+        left = F.when((low % 2 == 1) & (low < high), low)
+        right = F.when((high % 2 == 1) & (low + low % 2 < high), high - 1)
+        return F.transform(
+            F.array_compact(F.array(left, right)), lambda b: F.struct(level.alias("level"), b.alias("block"))
+        )
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at))
+
+
 def enclosing_scope(calls: DataFrame, scopes: DataFrame) -> DataFrame:
     """Innermost scope around each call, for tables kept apart.
 
-    ``calls(path, line, …)``, ``scopes(path, kind, name, first, last)``. Scopes
-    are laid out as lines (as many rows as the source has lines, times nesting
-    depth), which turns the range condition into a join on (path, line): no
-    pair of call and scope is ever tried in vain, and no file is one hot key.
-    Calls outside any scope stay, with nulls.
+    ``calls(path, line, …)``, ``scopes(path, kind, name, first, last)``. A scope
+    is laid out as aligned blocks of lines, a few per power of two in its length,
+    and a line lies in one block of each size; so the range condition is a join
+    on (path, level, block) whatever a scope's length, and no pair of call and
+    scope is ever tried in vain. Calls outside any scope stay, with nulls.
     """
 
     def innermost(kind: str) -> Column:
         return F.max_by("name", F.when(F.col("kind") == kind, F.col("first")))
 
+    laid_out = scopes.select("path", "kind", "name", "first", F.inline(_blocks(F.col("first"), F.col("last"))))
+    places = calls.select("path", "line").distinct().select(
+        "path", "line", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level")
+    )
+    block = F.call_function("shiftright", F.col("line").cast("bigint"), F.col("level"))
     around = (
-        scopes.select("path", "kind", "name", "first", F.explode(F.sequence("first", "last")).alias("line"))
+        places.withColumn("block", block).join(laid_out, ["path", "level", "block"])
         .groupBy("path", "line")
         .agg(innermost("function").alias("function_name"), innermost("class").alias("class"))
     )

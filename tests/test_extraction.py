@@ -290,3 +290,20 @@ def test_calls_with_one_short_id_stay_apart(spark, rows):
     answers = functions.select("call_key", F.lit(None).cast("string").alias("error"), F.col("function").alias("response"))
     joined = L.label_join(functions, answers)
     assert joined.where("llm_output = function").count() == joined.count() == 3
+
+
+def test_enclosing_scopes_of_any_length(spark, rows):
+    import random
+
+    rng = random.Random(1)
+    scopes = [("p", rng.choice(["function", "class"]), f"n{i}", (a := rng.randrange(1, 200)), a + rng.choice([0, 1, 5, 70]))
+              for i in range(60)] + [("p", "class", "endless", 150, 2**31 - 1), ("q", "function", "other", 1, 9)]
+    firsts = set()
+    scopes = [s for s in scopes if (s[1], s[3]) not in firsts and not firsts.add((s[1], s[3]))]
+    calls = [("p", line) for line in range(0, 300)] + [("p", 7), ("r", 1)]
+    got = E.enclosing_scope(spark.createDataFrame(calls, "path string, line int"), spark.createDataFrame(
+        scopes, "path string, kind string, name string, first int, last int"))
+    inner = lambda path, line, kind: max(
+        ((s[3], s[2]) for s in scopes if s[0] == path and s[1] == kind and s[3] <= line <= s[4]), default=(0, None))[1]
+    want = [(p, n, inner(p, n, "function"), inner(p, n, "class")) for p, n in calls]
+    assert rows(got, "path", "line", "function_name", "class") == sorted(want, key=repr)
