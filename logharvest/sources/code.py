@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from fnmatch import fnmatch
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BATCH_BYTES = 16 << 20
 _TASK_BYTES = 64 << 20
+_LISTED = 10_000
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -33,20 +35,20 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
 
 
 def _lister(root: str, pattern: str):
-    """Folders and files below the root -> files whose name fits, with sizes."""
+    """Folders below the root -> their own entries: folders, and files whose name fits."""
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(root)
         for batch in batches:
             for name in batch.column("name").to_pylist():
-                entry = system.get_file_info(f"{base}/{name}")
-                infos = [entry]
-                if entry.type == fs.FileType.Directory:
-                    infos = system.get_file_info(fs.FileSelector(entry.path, recursive=True))
-                files = [i for i in infos if i.type == fs.FileType.File and fnmatch(i.base_name, pattern)]
-                yield pa.RecordBatch.from_pydict({
-                    "name": pa.array([i.path[len(base) + 1:] for i in files], pa.string()),
-                    "size": pa.array([i.size for i in files], pa.int64()),
-                })
+                infos = system.get_file_info(fs.FileSelector(f"{base}/{name}" if name else base))
+                kept = [i for i in infos if i.type == fs.FileType.Directory
+                        or i.type == fs.FileType.File and fnmatch(i.base_name, pattern)]
+                for at in range(0, len(kept), _LISTED):
+                    some = kept[at:at + _LISTED]
+                    yield pa.RecordBatch.from_pydict({
+                        "name": pa.array([i.path[len(base) + 1:] for i in some], pa.string()),
+                        "size": pa.array([None if i.type == fs.FileType.Directory else i.size for i in some], pa.int64()),
+                    })
 
     return listed
 
@@ -86,16 +88,23 @@ def _reader(root: str):
 def read_tree(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """All files below ``root``, hidden ones included, whose name fits ``pattern``.
 
-    The driver lists the first level only. Each of its folders is listed by a
-    task; the file names are stored and dealt evenly over the readers, so a
+    The tree is listed level by level, each level's folders by as many tasks as
+    there are cores, so that one owner's large tree is no single task's work;
+    the file names are stored and dealt evenly over the readers, so a
     repository that holds a third of all files is read by a third of them.
     Bytes that are no UTF-8 give a null content rather than a failed job.
     """
-    system, base = _open(root)
-    top = [(i.base_name,) for i in system.get_file_info(fs.FileSelector(base))]
     cores = spark.sparkContext.defaultParallelism
-    entries = spark.createDataFrame(top, "name STRING").repartition(max(1, min(len(top), 4 * cores)))
-    names = stored(entries.mapInArrow(_lister(root, pattern), "name STRING, size BIGINT"), "listing")
+    folders, levels = spark.createDataFrame([("",)], "name STRING"), []
+    while True:
+        entries = folders.mapInArrow(_lister(root, pattern), "name STRING, size BIGINT")
+        levels.append(stored(entries, "listing"))
+        folders = levels[-1].filter("size IS NULL").select("name")
+        n = folders.count()
+        if n == 0:
+            break
+        folders = folders.repartition(min(n, 4 * cores), "name")
+    names = reduce(DataFrame.unionByName, levels).filter("size IS NOT NULL")
     total = names.agg(F.sum("size")).collect()[0][0] or 0
     dealt = names.select("name").repartition(max(cores, -(-total // _TASK_BYTES)))
     files = dealt.mapInArrow(_reader(root), "name STRING, content STRING")
