@@ -74,17 +74,22 @@ def shape_of(text: str) -> list[float]:
     ]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, weight: np.ndarray | None = None, rounds: int = 12) -> np.ndarray:
-    """Weights of an L2-penalised logistic model, the last one its constant, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.ones(len(x)) if weight is None else weight
-    ridge = np.full(x.shape[1], penalty)
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Weights of an L2-penalised logistic model, the last one its constant, by Newton steps.
+
+    Rows are taken some at a time, so that nothing as large as ``x`` is made beside it.
+    """
+    width = x.shape[1] + 1
+    ridge = np.full(width, penalty)
     ridge[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + ridge * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
+        slope, curve = ridge * w, np.diag(ridge)
+        for at in range(0, len(x), 1000):
+            some = np.hstack([x[at : at + 1000].astype(float), np.ones((len(x[at : at + 1000]), 1))])
+            p = _sigmoid(some @ w)
+            slope += some.T @ (p - y[at : at + 1000])
+            curve += (some * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ some
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-5:
@@ -121,9 +126,9 @@ class Model:
 
     def matrix(self, tokens, dense, meta) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(tokens), len(self.vocabulary)
-        text = np.zeros((n, k + N_SHAPE))
+        text = np.zeros((n, k + N_SHAPE), np.float32)
         text[:, k:] = np.stack([np.asarray(d, float) for d in dense]) if n else 0
-        page = np.zeros((n, len(self.categories)))
+        page = np.zeros((n, len(self.categories)), np.float32)
         for i in range(n):
             text[i, np.asarray(tokens[i], int)] = 1
             page[i, np.asarray(meta[i], int)] = 1
@@ -249,6 +254,7 @@ def train(
     rows = table.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     known = rows.orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").select("doc_id", "f.*", *TARGETS).toPandas()
     text, page = model.matrix(known["tokens"].to_list(), known["dense"].to_list(), known["meta"].to_list())
+    known = known[list(TARGETS)]
     n_held = int(len(known) * HOLDOUT)
     unlabelled = table.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
     for target in TARGETS:
