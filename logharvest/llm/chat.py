@@ -119,7 +119,6 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     conv, turns, size, at = None, [], 0, 0
     for batch in batches:
         for c, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
-            c = None if pd.isna(c) else int(c)
             if turns and (c != conv or size >= TOGETHER):
                 yield conv, at, turns
                 at += len(turns)
@@ -136,7 +135,7 @@ _ORDER = ("conv_id", "no_turn", "turn", "role", "text")
 
 def _dealt(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").isNull().alias("no_turn"), "turn", "role", "text"
+        "conv_id", F.col("turn").isNull().alias("no_turn"), "turn", "role", "text"
     )
     # Ranges of one conversation's turns may lie in several tasks; the hash deals equal turn numbers.
     return rows.repartitionByRange(*_ORDER[:3], F.xxhash64("role", "text")).sortWithinPartitions(*_ORDER[:3], "role", "text")
@@ -155,13 +154,16 @@ def segments(conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for conv, at, turns in _runs(batches):
             made = format_segment(turns, path)
             yield pd.DataFrame({
-                "conv_id": pd.array([conv], "Int64"), "part": [part], "at": [at], "n_turns": [len(turns)],
+                "conv_id": [conv], "part": [part], "at": [at], "n_turns": [len(turns)],
                 "formatted": [made["formatted"]], "ids": [made["ids"]], "loss": [made["mask"].tolist()],
             })
 
-    return _dealt(conversations).mapInPandas(
-        run, "conv_id bigint, part int, at bigint, n_turns int, formatted string, ids array<int>, loss array<boolean>"
+    # Ids pass pandas as text: beside a null it would make floats of them.
+    dealt = _dealt(conversations).select(F.col("conv_id").cast("string"), "role", "text")
+    made = dealt.mapInPandas(
+        run, "conv_id string, part int, at bigint, n_turns int, formatted string, ids array<int>, loss array<boolean>"
     )
+    return made.withColumn("conv_id", F.col("conv_id").cast(conversations.schema["conv_id"].dataType))
 
 
 def digests(made: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -173,13 +175,12 @@ def digests(made: DataFrame, path: str = TOKENIZER) -> DataFrame:
         def row() -> pd.DataFrame:
             n, turns, chars, loss, formatted = state
             return pd.DataFrame({
-                "conv_id": pd.array([conv], "Int64"), "n_turns": [n], "turns_sha256": [turns.hexdigest()],
+                "conv_id": [conv], "n_turns": [n], "turns_sha256": [turns.hexdigest()],
                 "loss_chars": [chars], "loss_sha256": [loss.hexdigest()], "formatted_chars": [formatted],
             })
 
         for batch in batches:
             for c, formatted, ids, mask in zip(batch["conv_id"], batch["formatted"], batch["ids"], batch["loss"], strict=True):
-                c = None if pd.isna(c) else int(c)
                 if state is None or c != conv:
                     if state is not None:
                         yield row()
@@ -195,10 +196,12 @@ def digests(made: DataFrame, path: str = TOKENIZER) -> DataFrame:
         if state is not None:
             yield row()
 
-    ordered = made.repartition("conv_id").sortWithinPartitions("conv_id", "part", "at")
-    return ordered.mapInPandas(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    named = made.withColumn("conv_id", F.col("conv_id").cast("string"))
+    ordered = named.repartition("conv_id").sortWithinPartitions("conv_id", "part", "at")
+    found = ordered.mapInPandas(
+        run, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
+    return found.withColumn("conv_id", F.col("conv_id").cast(made.schema["conv_id"].dataType))
 
 
 def token_offsets(formatted: str, ids, path: str = TOKENIZER) -> np.ndarray:

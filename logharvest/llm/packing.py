@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -136,14 +137,13 @@ def pieces(
                     row = (doc_id, at, start, length, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
                     start += length
-            made = pd.DataFrame(rows, columns=names)
-            made["doc_id"] = made["doc_id"].astype(batch["doc_id"].dtype)
-            yield made
+            yield pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return docs.select("doc_id", "text").mapInPandas(run, schema + ", ids array<int>" * with_ids)
+    schema = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    # Ids pass pandas as text: beside a null it would make floats of them.
+    made = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def best_fit(
@@ -219,7 +219,9 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, together: int = TOGETHER, **r
             yield placed(pd.concat(kept, ignore_index=True), first)[0]
 
     dealt = cut.repartition(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1 << 20)))
-    return dealt.mapInPandas(run, cut.schema.add("sequence_id", "long").add("offset", "long")).select(
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    made = dealt.mapInPandas(run, StructType([*dealt.schema]).add("sequence_id", "long").add("offset", "long"))
+    return made.withColumn("doc_id", F.col("doc_id").cast(cut.schema["doc_id"].dataType)).select(
         *columns, "sequence_id", "offset"
     )
 

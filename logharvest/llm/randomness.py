@@ -189,10 +189,11 @@ def scan(docs: DataFrame, battery: Battery) -> DataFrame:
                 candidates.append([dict(zip(("start", "end", "encoding", "length", "step"), c, strict=True)) for c in tried])
             yield batch.assign(base=base, candidates=candidates)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, base array<{SPAN}>, candidates array<{CANDIDATE}>"
+    # Ids pass pandas as text: beside a null it would make floats of them.
+    made = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(
+        run, f"doc_id string, base array<{SPAN}>, candidates array<{CANDIDATE}>"
     )
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def levels(scanned: DataFrame, rate: float = RATE) -> dict[int, int]:

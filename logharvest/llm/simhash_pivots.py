@@ -81,10 +81,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.array([fingerprint(t, shingle) for t in batch.pop("text")], dtype=np.uint64)
             yield batch.assign(fp=found.view(np.int64))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", row_key().alias("key")).select("doc_id", "key.a", "key.b", "text")
-    made = rows.mapInPandas(run, f"doc_id {kind}, a bigint, b bigint, fp bigint")
-    return made.select("doc_id", F.struct("a", "b").alias("key"), "fp")
+    kind = docs.schema["doc_id"].dataType
+    # Ids pass pandas as text: beside a null it would make floats of them.
+    rows = docs.select(F.col("doc_id").cast("string"), "text", row_key().alias("key"))
+    made = rows.select("doc_id", "key.a", "key.b", "text").mapInPandas(
+        run, "doc_id string, a bigint, b bigint, fp bigint")
+    return made.select(F.col("doc_id").cast(kind), F.struct("a", "b").alias("key"), "fp")
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:

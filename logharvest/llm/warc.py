@@ -50,9 +50,10 @@ CHUNK = 1 << 20
 # Pages have no time of capture; in the driver's table one is derived from the id.
 EPOCH = 1_700_000_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+# Ids pass pandas as text: beside a null it would make floats of them.
 INDEX = (
-    "page_id bigint, url string, url_key string, captured string, payload_bytes bigint, payload_digest string, "
-    "record_type string, refers_to bigint, file string, at bigint, size bigint"
+    "page_id string, url string, url_key string, captured string, payload_bytes bigint, payload_digest string, "
+    "record_type string, refers_to string, file string, at bigint, size bigint"
 )
 
 
@@ -89,23 +90,19 @@ def with_roles(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def record(row) -> bytes:
     """One WARC record, uncompressed."""
     head = [
-        "WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: <urn:page:{_text(row.page_id)}>",
-        f"WARC-Target-URI: {'' if row.url is None else _line(row.url)}", f"WARC-Date: {_text(row.captured)}",
+        "WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: <urn:page:{row.page_id or ''}>",
+        f"WARC-Target-URI: {'' if row.url is None else _line(row.url)}", f"WARC-Date: {row.captured or ''}",
         f"WARC-Payload-Digest: sha256:{row.payload_digest}", f"X-Payload-Length: {row.payload_bytes}",
         f"X-URL-Key: {_line(row.url_key)}",
     ]
     body = row.payload
     if row.record_type == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{int(row.refers_to)}>", f"WARC-Profile: {_PROFILE}"]
+        head += [f"WARC-Refers-To: <urn:page:{row.refers_to}>", f"WARC-Profile: {_PROFILE}"]
         body = b""
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def _text(value) -> str:
-    return "" if value is None or value != value else str(int(value)) if isinstance(value, (int, float)) else str(value)
-
-
 def _line(value: str) -> str:
     """A header is one line: control characters and the sign itself as %xx."""
     return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02x}", value)
@@ -147,8 +144,8 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
             made.append((f"{folder}/{name}", n))
         yield pd.DataFrame(made, columns=["file", "n_records"])
 
-    # Payloads travel a few at a time.
-    return stored(pages.mapInPandas(run, "file string, n_records bigint"), "archives")
+    named = pages.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to", "captured")})
+    return stored(named.mapInPandas(run, "file string, n_records bigint"), "archives")
 
 
 def read_records(path: str) -> Iterator[tuple[int, int, dict, bytes]]:
@@ -177,9 +174,9 @@ def read_records(path: str) -> Iterator[tuple[int, int, dict, bytes]]:
             at += used
 
 
-def _page_id(value: str) -> int | None:
+def _page_id(value: str) -> str | None:
     found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", value or "")
-    return int(found[1]) if found else None
+    return found[1] if found else None
 
 
 def _entry(path: str, at: int, size: int, headers: dict, payload: bytes) -> tuple:
@@ -199,7 +196,7 @@ def _entry(path: str, at: int, size: int, headers: dict, payload: bytes) -> tupl
 def order_of(entry) -> tuple:
     """URL key, time, id; ids that are null come last, equal ones by place."""
     page = entry[0]
-    return entry[2], entry[3], page is None, page or 0, entry[8], entry[9]
+    return entry[2], entry[3], page is None, int(page or 0), entry[8], entry[9]
 
 
 def capture_runs(archives: DataFrame) -> DataFrame:
@@ -218,11 +215,7 @@ def capture_runs(archives: DataFrame) -> DataFrame:
 
 
 def _frame(entries: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in INDEX.split(", ")]
-    frame = pd.DataFrame(entries, columns=names)
-    for name in ("page_id", "refers_to"):
-        frame[name] = pd.array([e[names.index(name)] for e in entries], "Int64")
-    return frame
+    return pd.DataFrame(entries, columns=[c.split()[0] for c in INDEX.split(", ")])
 
 
 class LoserTree:
@@ -279,8 +272,6 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
         slices: dict[int, list[tuple]] = {}
         for batch in batches:
-            for name in ("page_id", "refers_to"):
-                batch[name] = batch[name].astype("Int64").astype(object).where(batch[name].notna(), None)
             for number, entry in zip(batch["run"], batch[names].itertuples(index=False, name=None), strict=True):
                 slices.setdefault(number, []).append(entry)
         merged: list[tuple] = []
@@ -294,8 +285,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
             yield _frame(merged).assign(range=TaskContext.get().partitionId(), place=range(done, done + len(merged)))
 
     # A range's rows arrive by run and place, as each run had sorted them.
-    ranges = runs.repartitionByRange("url_key", "captured", F.col("page_id").asc_nulls_last(), "file", "at")
-    return ranges.sortWithinPartitions("run", "place").mapInPandas(run, f"{INDEX}, range int, place bigint")
+    ranges = runs.repartitionByRange("url_key", "captured", F.col("page_id").cast("bigint").asc_nulls_last(), "file", "at")
+    merged = ranges.sortWithinPartitions("run", "place").mapInPandas(run, f"{INDEX}, range int, place bigint")
+    return merged.withColumns({c: F.col(c).cast("bigint") for c in ("page_id", "refers_to")})
 
 
 def capture_history(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -48,6 +48,7 @@ def messy(documents, prose):
         (5, " \n\t\n ", "en", None), (None, prose(60, 6), None, "a"), (None, None, None, None), (7, "one", "en", "a"),
         (8, "é 漢字 😀 ß\x00 \x85 x", "fr", "b"), (9, prose(30_000, 7), "en", "c"), (10, "word " * 5000, "en", "a"),
         (11, "x" * 60_000, "en", "a"), (12, "1" * 30_000 + " 1" * 30_000, "en", "b"), (1, prose(40, 8), "en", "c"),
+        (2**60 + 1, prose(25, 9), "en", "a"),
     ]
     return documents(rows)
 

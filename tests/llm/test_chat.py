@@ -51,7 +51,7 @@ def test_digests_equal_brute_force(spark, clashing):
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice(NASTY) + f" {c} {t}") for c in range(40) for t in range(rng.randint(1, 6))]
     rows += [(50, None, "assistant", "last"), (50, 1, None, None), (50, 1, "assistant", None), (50, 1, "assistant", "b"),
-             (50, 1, "assistant", "b"), (None, 0, "user", "u"), (None, 1, "assistant", "v")]
+             (50, 1, "assistant", "b"), (2**60 + 1, 0, "user", "big"), (None, 0, "user", "u"), (None, 1, "assistant", "v")]
     df = clashing(spark.createDataFrame(rows, SCHEMA))
     assert results(df) == brute(rows)
     probe = results(C.with_probe(df))

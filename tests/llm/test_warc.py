@@ -15,7 +15,7 @@ ROWS = [
     (5001, "http://A.b/x", "é" * 60), (5000, None, "é" * 60), (5002, "http://www.x.de:80/a?b#c", None), (5003, "u\r\n%41: x", ""),
     (5004, "http://A.b/x", "é" * 60), (None, "http://A.b/x", "é" * 60), (None, "http://A.b/x", "z" * 160), (None, "http://A.b/y", "z" * 160),
     (7, "http://c.d/", "short"), (8, "http://c.d/", "short"), (9, "http://c.d/", "q" * 100), (9, "http://c.d/", "q" * 100),
-    (10, "http://c.d/", "q" * 100), (11, "http://c.d/", "WARC/1.1\r\n\r\n" * 20),
+    (10, "http://c.d/", "q" * 100), (2**60 + 1, "http://c.d/", "big " * 50), (2**60 + 3, "http://c.d/", "big " * 50), (11, "http://c.d/", "WARC/1.1\r\n\r\n" * 20),
 ]
 
 
