@@ -25,6 +25,11 @@ def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.filter_calls(calls(spark, sf_dir))
 
 
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wanted calls without what is cut from their files' lines."""
+    return C.filter_calls(E.extract_calls(parsed(spark, sf_dir), texts=False))
+
+
 def over(step, source):
     """A query that applies ``step`` to what ``source`` builds."""
     return lambda spark, sf_dir: step(source(spark, sf_dir))
@@ -194,7 +199,7 @@ WHERE lib = 'logging' AND {_LEVEL_SQL} IS NOT NULL GROUP BY 2"""
 def reassigned_counts(spark, sf_dir):
     """``intended`` reassignment, with the dictionary naming the alias in use."""
     moved = reassign_library("library", "library_type", "snippet", "intended", ["wb", "mlflow"])
-    rows = calls(spark, sf_dir).select(moved.alias("library"))
+    rows = E.extract_calls(parsed(spark, sf_dir), texts=False).select(moved.alias("library"))
     return C.library_counts(rows)
 
 
@@ -205,7 +210,7 @@ FROM calls GROUP BY 1"""
 
 
 def config_calls_by_library(spark, sf_dir):
-    flagged = calls(spark, sf_dir).select(
+    flagged = E.extract_calls(parsed(spark, sf_dir), texts=False).select(
         "call_library", is_config_call_of("snippet", "call_library").alias("is_config"))
     return flagged.groupBy("call_library", "is_config").agg(F.count(F.lit(1)).alias("count"))
 
@@ -449,15 +454,15 @@ QUERIES = {
         over(lambda p: C.dataset_metrics(C.with_definitions(
             E.build_call_dataset(p).drop("n_functions", "n_classes"))), parsed), METRICS_SQL),
     "library_counts": (
-        over(C.library_counts, wanted),
+        over(C.library_counts, counted),
         CORPUS_SQL + "SELECT library, count(*) AS count FROM wanted GROUP BY library"),
     "total_calls": (
-        over(C.total_calls, wanted),
+        over(C.total_calls, counted),
         CORPUS_SQL + "SELECT count(*) AS number_of_logging_statements FROM wanted"),
     "distinct_functions": (
         over(C.distinct_functions, wanted),
         CORPUS_SQL + "SELECT count(DISTINCT function) AS number_of_functions FROM wanted"),
-    "level_counts": (over(C.level_counts, wanted), LEVELS_SQL),
+    "level_counts": (over(C.level_counts, counted), LEVELS_SQL),
     "call_summary": (over(C.summarize_calls, wanted), summary_sql("library")),
     "reassigned_library_counts": (reassigned_counts, REASSIGNED_SQL),
     "config_calls_by_library": (config_calls_by_library, CONFIG_SQL),

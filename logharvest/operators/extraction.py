@@ -72,15 +72,27 @@ def _used_libraries() -> Column:
     return F.array_compact(named)
 
 
-def _snippet(call: Column, path: Column, lines: Column) -> dict[str, Column]:
-    """Columns of a call, from its facts and the lines of its file."""
+def _identity(call: Column) -> list[Column | str]:
+    """Columns of a call's file, and what the parser says about where the call is."""
+    return [
+        X.file_key("path").alias("file_key"), X.file_id("path").alias("file_id"),
+        "path", "file_path", "project_name", "library", "library_type", "position",
+        call["library"].alias("call_library"), call["function_ix"].isNotNull().alias("in_function"),
+    ]
+
+
+def _snippet(call: Column, path: Column, lines: Column | None) -> dict[str, Column]:
+    """Columns of a call, from its facts and, if given, the lines of its file."""
+    around = {} if lines is None else {
+        "lines_before": X.line_before(lines, call["line"]),
+        "lines_after": X.line_after(lines, call["line"], call["end_line"]),
+    }
     return {
         "call_key": X.call_key(path, call["line"], call["text"]),
         "snippet_id": X.snippet_id(path, call["line"], call["text"]),
         "snippet": X.strip(call["text"]),
         "class": call["class_name"],
-        "lines_before": X.line_before(lines, call["line"]),
-        "lines_after": X.line_after(lines, call["line"], call["end_line"]),
+        **around,
         "line_number": call["line"],
     }
 
@@ -102,15 +114,25 @@ def with_libraries(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARI
 
 
 def extract_calls(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARIES,
-                  libraries: Sequence[str] = D.LIBRARIES) -> DataFrame:
+                  libraries: Sequence[str] = D.LIBRARIES, texts: bool = True) -> DataFrame:
     """One row per call: file columns, ``library`` of the file, ``call_library`` of the call.
 
     ``function_digest`` and ``trimmed_digest`` identify the function's text, as
     stored and trimmed. Texts and digests are built once per function, not once
     per call in it, each in a column that is dropped where nobody reads it.
+    ``texts=False`` leaves out all that is cut from the file's lines, neighbouring
+    lines, functions and digests: enough to filter and count calls by name and
+    level, without ever splitting a file.
     """
-    with_calls = computed_once(
-        with_libraries(parsed, general, libraries), "lines", X.source_lines("content"))
+    with_calls = with_libraries(parsed, general, libraries)
+    if not texts:
+        rows = with_calls.select(
+            "path", "file_path", "project_name", "library", "library_type",
+            F.col("facts.functions.name").alias("names"), F.posexplode("facts.calls").alias("position", "call"))
+        call = F.col("call")
+        columns = _snippet(call, F.col("path"), None) | {"function_name": F.get("names", call["function_ix"])}
+        return rows.select(*_identity(call), *[c.alias(name) for name, c in columns.items()])
+    with_calls = computed_once(with_calls, "lines", X.source_lines("content"))
     functions, lines = F.col("facts.functions"), F.col("lines")
 
     def per_function(value) -> Column:
@@ -133,12 +155,7 @@ def extract_calls(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARIE
     }
     columns = _snippet(call, F.col("path"), F.col("lines"))
     columns |= {name: F.get(F.col(c), call["function_ix"]) for name, c in of_function.items()}
-    return exploded.select(
-        X.file_key("path").alias("file_key"), X.file_id("path").alias("file_id"),
-        "path", "file_path", "project_name", "library", "library_type", "position",
-        call["library"].alias("call_library"), call["function_ix"].isNotNull().alias("in_function"),
-        *[c.alias(name) for name, c in columns.items()],
-    )
+    return exploded.select(*_identity(call), *[c.alias(name) for name, c in columns.items()])
 
 
 def build_call_dataset(parsed: DataFrame, general: Sequence[str] = D.GENERAL_LIBRARIES,

@@ -307,3 +307,14 @@ def test_enclosing_scopes_of_any_length(spark, rows):
         ((s[3], s[2]) for s in scopes if s[0] == path and s[1] == kind and s[3] <= line <= s[4]), default=(0, None))[1]
     want = [(p, n, inner(p, n, "function"), inner(p, n, "class")) for p, n in calls]
     assert rows(got, "path", "line", "function_name", "class") == sorted(want, key=repr)
+
+
+def test_counting_splits_no_file(spark, rows):
+    files = spark.createDataFrame([("a.py", "import logging\ndef f():\n    logging.info(1)\nlogging.info(2)\n")], "path string, content string")
+    parsed = E.parse_files(files)
+    kept = C.filter_calls(E.extract_calls(parsed, texts=False))
+    assert rows(kept, "call_key", "snippet", "function_name") == rows(
+        C.filter_calls(E.extract_calls(parsed)), "call_key", "snippet", "function_name")
+    for count in (C.total_calls, C.level_counts, C.library_counts):
+        plan = count(kept)._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(" not in plan and "sha2" not in plan
