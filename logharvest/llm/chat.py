@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,6 @@ TOKENIZER = "byte_bpe_50k.json"
 _LOOKS_LIKE_MARK = re.compile(r"<(\\*(?:/?turn|says)>)")
 _ESCAPED = re.compile(r"<\\(\\*(?:/?turn|says)>)")
 _TURN = re.compile(rf"{OPEN}(.*?){SAYS}(.*?){CLOSE}\n", re.DOTALL)
-_KEPT: dict = {}
 # Characters encoded at a time; a single turn is never cut.
 TOGETHER = 1 << 20
 
@@ -72,9 +72,14 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def _kept() -> dict:
+    return sys.modules.setdefault("logharvest_worker", types.ModuleType("logharvest_worker")).__dict__
+
+
 def tokenizer(path: str = TOKENIZER):
-    """The tokenizer with the marks added; one per worker process."""
-    if path not in _KEPT:
+    """The tokenizer with the marks added; one per worker process, in a module that outlasts the task."""
+    kept = _kept()
+    if ("chat", path) not in kept:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,8 +91,8 @@ def tokenizer(path: str = TOKENIZER):
         made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False)
         made.add_tokens([AddedToken(mark, normalized=False) for mark in (OPEN, SAYS, CLOSE)])
         made.encode_special_tokens = True
-        _KEPT[path] = made
-    return _KEPT[path]
+        kept["chat", path] = made
+    return kept["chat", path]
 
 
 def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -207,9 +212,7 @@ def digests(made: DataFrame, path: str = TOKENIZER) -> DataFrame:
 def token_offsets(formatted: str, ids, path: str = TOKENIZER) -> np.ndarray:
     """Code-point offsets of tokens from their ids alone, by the bytes that each stands for."""
     made = tokenizer(path)
-    if "bytes" not in _KEPT:
-        _KEPT["bytes"] = {}
-    lengths, known = np.empty(len(ids), np.int64), _KEPT["bytes"]
+    lengths, known = np.empty(len(ids), np.int64), _kept().setdefault(("bytes", path), {})
     for i, token in enumerate(ids):
         n = known.get(token)
         if n is None:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import contextlib
 import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -46,7 +47,6 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 # after it, so that it is the same word with and without them.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 _SIGNS = "!\"#$%&()*+,./:;<=>?@\\[\\]^`{|}~\\-"
-_KEPT: dict = {}
 
 
 class WordEncoder:
@@ -105,12 +105,17 @@ class WordEncoder:
 
 
 def _encoder(path: str) -> WordEncoder:
-    """One per worker process and tokenizer file."""
+    """One per worker process and tokenizer file.
+
+    Functions travel by value, so this module's globals are new in every task; what is
+    to last as long as the process is kept in a module of its own.
+    """
     import public_tokenizers
 
-    if path not in _KEPT:
-        _KEPT[path] = WordEncoder(public_tokenizers.path(path) if "/" not in path else path)
-    return _KEPT[path]
+    kept = sys.modules.setdefault("logharvest_worker", types.ModuleType("logharvest_worker")).__dict__
+    if ("words", path) not in kept:
+        kept["words", path] = WordEncoder(public_tokenizers.path(path) if "/" not in path else path)
+    return kept["words", path]
 
 
 def cut_lengths(n: int, longest: int) -> list[int]:
