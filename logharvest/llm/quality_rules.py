@@ -4,7 +4,8 @@ Each rule rejects documents whose value lies above a cutoff. Labelled good
 documents are the holdout: a cutoff is admissible in a stratum if an exact
 binomial test rejects, at a corrected level, that it turns away more than the
 allowed share of good documents there. The lowest admissible cutoff of a rule
-is used; a rule without one rejects nothing in that stratum.
+is used; a rule without one rejects nothing in that stratum. Strata too small
+for a bound of their own have one together.
 
 Everything is DataFrame expressions. A text is worked on inside its row: the
 words that recur in windows are found by sorting the row's own window hashes,
@@ -145,12 +146,17 @@ def admissible_cutoffs(
     holdout: DataFrame, stratum: str, max_false_rejection: float = 0.01, error: float = 0.05,
     cutoffs: dict[str, tuple[float, ...]] = CUTOFFS,
 ) -> DataFrame:
-    """``(stratum, rule, cutoff, n_good, n_rejected)``, the lowest admissible cutoff per rule.
+    """``(stratum, rule, cutoff, n_good, n_rejected, pooled)``, the lowest admissible cutoff per rule.
 
     ``holdout`` has the figures of labelled good documents that pass the base
     rule. The rules share ``max_false_rejection`` evenly, so together they stay
-    below it. ``error`` is divided by the number of tests made, strata x rules x
-    cutoffs (Bonferroni), so with probability 1 - ``error`` all bounds hold.
+    below it. A rule's cutoffs are tested from the laxest downwards until one
+    fails, which needs no correction among them. ``error`` is divided by the
+    number of these sequences, strata x rules; what one that passed to its end
+    had goes to the others (Holm). With probability 1 - ``error`` all bounds hold.
+
+    Strata with too few documents for any test are pooled: their bound is on all
+    of them together, as they are mixed among the labelled documents.
     """
     allowed = max_false_rejection / len(cutoffs)
     values = rule_values()
@@ -168,14 +174,36 @@ def admissible_cutoffs(
     )
     # One row per stratum, rule and cutoff: figures, not documents.
     tested = stored(tested, "quality-tests")
-    level = math.log(error / max(1, tested.count()))
+    strata = tested.select("stratum", "n_good").distinct()
+    needed = math.log(error / (max(1, strata.count()) * len(cutoffs))) / math.log1p(-allowed)
+    small = F.col("n_good") < needed
+    pooled = tested.groupBy(
+        small.alias("pooled"), F.when(~small, F.col("stratum")).alias("own"), "rule", "cutoff"
+    ).agg(F.sum("n_good").alias("n_good"), F.sum("n_rejected").alias("n_rejected"))
     # Beyond the allowed share no test can pass, and its sum need not be made.
     worth = F.col("n_rejected") <= allowed * F.col("n_good")
-    passed = tested.where(worth).where(log_binomial_cdf(F.col("n_rejected"), F.col("n_good"), allowed) <= level)
-    return passed.groupBy("stratum", "rule").agg(
+    p = F.when(worth, log_binomial_cdf(F.col("n_rejected"), F.col("n_good"), allowed)).otherwise(0.0)
+    pooled = stored(pooled.withColumn("log_p", p), "quality-bounds")
+    hardest = pooled.groupBy("pooled", "own", "rule").agg(F.max("log_p").alias("log_p"))
+    level = step_down_level([r.log_p for r in hardest.select("log_p").collect()], error)
+    # Fewer documents lie above a laxer cutoff, so all cutoffs above one that passes pass.
+    passed = pooled.where(F.col("log_p") <= level).groupBy("pooled", "own", "rule").agg(
         F.min("cutoff").alias("cutoff"),
         F.min_by("n_good", "cutoff").alias("n_good"), F.min_by("n_rejected", "cutoff").alias("n_rejected"),
     )
+    members = strata.select("stratum", small.alias("is_small"), F.when(~small, F.col("stratum")).alias("whose"))
+    same = (F.col("pooled") == F.col("is_small")) & F.col("own").eqNullSafe(F.col("whose"))
+    return members.join(passed, same).select("stratum", "rule", "cutoff", "n_good", "n_rejected", "pooled")
+
+
+def step_down_level(hardest: list[float], error: float) -> float:
+    """Log of the level of the sequences that do not end, from the largest log p of each sequence."""
+    left = len(hardest)
+    for log_p in sorted(hardest):
+        if left == 1 or log_p > math.log(error / left):
+            break
+        left -= 1
+    return math.log(error / max(1, left))
 
 
 def apply_rules(

@@ -62,3 +62,25 @@ def test_messy_and_empty(spark, messy, clashing):
     assert len(out) == messy.count()
     assert all(r.base_failed and not r.kept for r in out if r.doc_id in (3, 4, 5, 7))
     assert Q.apply_rules(messy.limit(0), labels.limit(0)).count() == 0
+
+
+def test_production_parameters_reject_junk_in_pooled_strata(spark, documents, prose):
+    sizes = {"en": 1800, "de": 600, "fr": 500, "es": 400}
+    langs = [lang for lang, n in sizes.items() for _ in range(n)]
+    good = [(i, prose(40, i), lang, "s") for i, lang in enumerate(langs)]
+    junk = [(10_000 + i, prose(40, i).replace(" ", "# "), lang, "s") for i, lang in enumerate(sizes)]
+    shout = [(20_000 + i, prose(40, i).upper(), lang, "s") for i, lang in enumerate(sizes)]
+    # No good document of this language is labelled: nothing bounds its rules.
+    other = [(30_000, prose(40, 1).replace(" ", "# "), "zz", "s")]
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in good], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in Q.apply_rules(documents(good + junk + shout + other), labels).collect()}
+    assert all(out[i].kept for i, *_ in good) and out[30_000].kept
+    assert all("symbols" in out[i].broken for i, *_ in junk)
+    assert all("upper_case" in out[i].broken for i, *_ in shout)
+
+
+def test_level_steps_down():
+    assert math.isclose(Q.step_down_level([0.0, 0.0], 0.05), math.log(0.025))
+    assert math.isclose(Q.step_down_level([-50.0, 0.0, -50.0], 0.05), math.log(0.05))
+    assert math.isclose(Q.step_down_level([math.log(0.03), math.log(0.03)], 0.05), math.log(0.025))
+    assert math.isclose(Q.step_down_level([], 0.05), math.log(0.05))
