@@ -93,7 +93,7 @@ FROM content WHERE doc_id IN (SELECT doc_id FROM calls)"""
 
 def id_lists(spark, sf_dir):
     """Id lists joined for CSV and split again."""
-    lists = sinks.join_lists(C.unique_functions(stored(wanted(spark, sf_dir), "calls")))
+    lists = sinks.join_lists(C.unique_functions(stored(wanted(spark, sf_dir), "calls"), C.SHARDS))
     return lists.select("library", "log_level", X.split_ids("snippet_ids").alias("snippet_id"))
 
 

@@ -73,7 +73,7 @@ def summarize(filtered: DataFrame, target: str) -> None:
 
 
 def summarize_unique(filtered: DataFrame, target: str) -> None:
-    sinks.write_csv(sinks.join_lists(C.unique_functions(X.explode_calls(filtered))), target)
+    sinks.write_csv(sinks.join_lists(C.unique_functions(X.explode_calls(filtered), C.SHARDS)), target)
 
 
 def sample(filtered: DataFrame, target: str, seed: int = 42) -> None:

@@ -87,3 +87,28 @@ def test_metrics(spark, rows):
     metrics = C.dataset_metrics(C.with_definitions(nested(spark)))
     assert rows(metrics) == [(3, 1, 1, 1, 1, 1, 7)]
     assert rows(C.dataset_metrics(C.with_definitions(nested(spark)).limit(0))) == [(0,) * 7]
+
+
+def test_id_lists_of_queries_and_plans_are_sharded(spark, monkeypatch):
+    from driver_queries import tables
+    from logharvest.plans import code_study
+
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def spy(calls, shards=1):
+        asked.append(shards)
+        raise Asked
+
+    monkeypatch.setattr(C, "unique_functions", spy)
+    monkeypatch.setattr(tables, "wanted", lambda *a: None)
+    monkeypatch.setattr(tables, "stored", lambda *a: None)
+    monkeypatch.setattr(code_study.X, "explode_calls", lambda df: df)
+    for run in (lambda: tables.id_lists(spark, ""), lambda: code_study.summarize_unique(None, "")):
+        try:
+            run()
+        except Asked:
+            pass
+    assert asked == [C.SHARDS] * 2 and C.SHARDS >= 1024
