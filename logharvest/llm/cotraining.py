@@ -10,8 +10,9 @@ labelled documents kept apart, a logistic combination of the two calibrated
 views is fitted there, and it scores every document.
 
 What is bounded: models are fitted on at most ``n_labelled`` labelled documents
-(those with the least hash of their id) and ``n_exchanged`` pseudo-labelled ones
-per view, class and round; a model has at most ``n_tokens`` words. Selecting the
+(those with the least hash of their id, one row of each) and ``n_exchanged``
+pseudo-labelled ones per view, class and round, which leave the pool of distinct
+feature vectors when they are handed over; a model has at most ``n_tokens`` words. Selecting the
 words counts over that sample; choosing pseudo-labels and scoring cover all
 documents. One pass over the texts makes a small table of features, which the
 rounds scan; the driver sees features of bounded samples only. Fitting is numpy
@@ -208,6 +209,13 @@ def _labels(labels: DataFrame) -> DataFrame:
     )
 
 
+def one_row_each(rows: DataFrame) -> DataFrame:
+    """One row per ``doc_id``, that with the least hash, however many there are; combined before the shuffle."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    least = F.min(F.struct(F.xxhash64(*rest).alias("__h"), *rest)).alias("__row")
+    return rows.groupBy("doc_id").agg(least).select("doc_id", *[f"__row.{c}" for c in rest])
+
+
 def select_tokens(sample: DataFrame, target: str, n_tokens: int) -> list[str]:
     """Words and beginnings of a labelled sample with the surest log-odds between the classes."""
 
@@ -239,24 +247,27 @@ def train(
     chosen = stored(chosen, "labelled-sample")
     wanted = ["doc_id", "text", *METADATA, "n_chars"]
     # At most n_labelled rows of three numbers.
-    sample = stored(docs.select(*wanted).join(F.broadcast(chosen), "doc_id"), "labelled-documents")
+    found_rows = docs.select(*wanted).join(F.broadcast(chosen), "doc_id")
+    sample = stored(one_row_each(found_rows), "labelled-documents")
     model = Model()
     found: dict[str, None] = {}
     for target in TARGETS:
         found |= dict.fromkeys(select_tokens(sample, target, n_tokens))
     model.vocabulary = {t: i for i, t in enumerate(found)}
-    pages = sample.select(*METADATA, "n_chars").toPandas().astype(object)
+    pages = sample.select(*METADATA, "n_chars").distinct().toPandas().astype(object)
     pages = pages.where(pages.notna(), None)
     seen = sorted({m for row in pages.itertuples(index=False) for m in _metadata(*row)})
     model.categories = {m: i for i, m in enumerate(seen)}
 
     table = stored(docs.select("doc_id", features(model).alias("f")), "document-features")
-    rows = table.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = sample.select("doc_id", features(model).alias("f"), *TARGETS)
     known = rows.orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id").select("doc_id", "f.*", *TARGETS).toPandas()
     text, page = model.matrix(known["tokens"].to_list(), known["dense"].to_list(), known["meta"].to_list())
     known = known[list(TARGETS)]
     n_held = int(len(known) * HOLDOUT)
     unlabelled = table.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    # Copies teach once.
+    pool = stored(unlabelled.select("f").distinct(), "unlabelled-features")
     for target in TARGETS:
         y = known[target].to_numpy(float)
         if len(set(y.tolist())) < 2 or len(set(y[n_held:].tolist())) < 2:
@@ -265,6 +276,7 @@ def train(
         held, fit = slice(0, n_held), slice(n_held, None)
         sets = [(text[fit], y[fit]), (page[fit], y[fit])]
         views: list[View] = []
+        taken: set[int] = set()
         for turn in range(rounds + 1):
             views = [
                 View(logistic(x, t)).calibrated(whole[held], y[held])
@@ -272,23 +284,32 @@ def train(
             ]
             model.views[target] = (views[0], views[1], np.array([1.0, 0.0, 0.0]))
             if turn < rounds:
-                sets = _exchange(model, target, unlabelled, sets, n_exchanged, confidence)
+                sets = _exchange(model, target, pool, sets, n_exchanged, confidence, taken)
         both = np.stack([views[0].logit(text[held]), views[1].logit(page[held])], axis=1)
         mix = logistic(both, y[held], penalty=1e-2) if len(set(y[held].tolist())) == 2 else np.array([1.0, 0.0, 0.0])
         model.views[target] = (views[0], views[1], mix)
     return model, table
 
 
-def _exchange(model, target, unlabelled, sets, n_exchanged, confidence) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Adds to each view's training set the documents that the other view is surest of."""
-    scored = unlabelled.select("doc_id", "f", scores(model, "f").alias("s"))
-    sure = scored.select("doc_id", "f", F.explode(F.array(*[
+def _exchange(
+    model, target, unlabelled, sets, n_exchanged, confidence, taken: set[int] | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Adds to each view's training set the feature vectors that the other view is surest of.
+
+    Vectors whose hash is in ``taken`` are no longer in the pool; those handed over join them.
+    """
+    vector = F.xxhash64("f")
+    left = unlabelled.where(~vector.isin(sorted(taken))) if taken else unlabelled
+    scored = left.select(vector.alias("vector"), "f", scores(model, "f").alias("s"))
+    sure = scored.select("vector", "f", F.explode(F.array(*[
         F.struct(F.lit(by).alias("by"), F.lit(label).alias("label"), (own if label else 1 - own).alias("p"))
         for by, own in ((0, F.col(f"s.text_{target}")), (1, F.col(f"s.page_{target}"))) for label in (0, 1)
-    ])).alias("c")).where(F.col("c.p") >= confidence).select("doc_id", "f", "c.*")
+    ])).alias("c")).where(F.col("c.p") >= confidence).select("vector", "f", "c.*")
     # Four lists of bounded length; Spark cuts each to the bound before it shuffles.
-    rank = F.row_number().over(Window.partitionBy("by", "label").orderBy(F.desc("p"), F.xxhash64("doc_id"), "doc_id"))
-    picked = sure.withColumn("rank", rank).where(F.col("rank") <= n_exchanged).select("by", "label", "f.*").toPandas()
+    rank = F.row_number().over(Window.partitionBy("by", "label").orderBy(F.desc("p"), "vector"))
+    picked = sure.withColumn("rank", rank).where(F.col("rank") <= n_exchanged).select("vector", "by", "label", "f.*").toPandas()
+    if taken is not None:
+        taken.update(picked["vector"].tolist())
     out = []
     for view, (x, y) in enumerate(sets):
         own = picked[picked["by"] == 1 - view]

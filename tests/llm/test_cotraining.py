@@ -79,3 +79,37 @@ def test_logistic_finds_the_boundary():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
     w = C.logistic(x, y, penalty=1e-3)
     assert np.allclose(w, [2, -1, 0.5], atol=0.2)
+
+
+def test_a_labelled_id_in_many_rows_counts_once(corpus, documents, prose, monkeypatch):
+    docs, labels, _ = corpus
+    many = documents([(1, prose(60, 5000 + i % 40), "en", f"copy{i % 40}") for i in range(2000)])
+    samples = []
+    real = C.select_tokens
+    monkeypatch.setattr(C, "select_tokens", lambda s, *a: samples.append(s) or real(s, *a))
+    model, _ = C.train(docs.unionByName(many), labels, rounds=0)
+    assert samples and samples[0].count() == labels.select("doc_id").distinct().count()
+    pages = [v for kind, v in model.categories if kind == "source" and v.startswith("copy")]
+    assert len(pages) <= 1
+
+
+def test_copies_teach_once(corpus, monkeypatch):
+    docs, labels, _ = corpus
+    unlabelled = docs.join(labels, "doc_id", "left_anti")
+    copies = docs.sparkSession.range(10_000, 10_030).join(unlabelled.limit(20).drop("doc_id")).withColumnRenamed("id", "doc_id")
+    pools, real = [], C._exchange
+    monkeypatch.setattr(C, "_exchange", lambda model, target, pool, *rest: pools.append(pool) or real(model, target, pool, *rest))
+    C.train(docs.unionByName(copies.select(*docs.columns)), labels, rounds=1, n_exchanged=15, confidence=0.6)
+    assert pools and all(p.count() == p.select("f").distinct().count() for p in pools)
+
+
+def test_rounds_hand_over_different_vectors(corpus):
+    docs, labels, _ = corpus
+    model, table = C.train(docs, labels, rounds=0)
+    pool = table.join(labels, "doc_id", "left_anti").select("f").distinct()
+    x, y = model.matrix([], [], [])
+    taken: set[int] = set()
+    C._exchange(model, "low_quality", pool, [(x, np.array([])), (y, np.array([]))], 10, 0.6, taken)
+    first = set(taken)
+    C._exchange(model, "low_quality", pool, [(x, np.array([])), (y, np.array([]))], 10, 0.6, taken)
+    assert first and len(taken - first) >= 10
