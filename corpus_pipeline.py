@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logharvest.llm import cotraining, decontamination, line_spread, packing, shingle_duplicates
+from logharvest.llm import cotraining, decontamination, line_spread, packing, simhash_pivots
 from logharvest.llm.common import table
 from logharvest.session import stored
 
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): that with the smallest id."""
-    return shingle_duplicates.one_of_each(docs)
+    """One document of each SimHash component (4-word shingles, 4 or fewer differing bits): that with the smallest id."""
+    return simhash_pivots.one_of_each(docs, shingle=4, radius=4)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
