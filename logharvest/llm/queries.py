@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharvest.llm import chat, cotraining, decontamination, disclosure, line_spread, manifest, packing, quality_rules, randomness, simhash_pivots, warc
+from logharvest.llm import chat, cotraining, decontamination, disclosure, line_spread, manifest, packing, quality_rules, randomness, repair, simhash_pivots, warc
 from logharvest.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations")).drop("repaired")
+
+
 QUERIES = {
     "op1_cotraining": (op1_cotraining, None),
     "op2_warc": (op2_warc, None),
@@ -73,4 +77,6 @@ QUERIES = {
     "op10_quality_rules": (op10_quality_rules, None),
     # A hash tree needs recursion over levels; tested against a plain build instead.
     "op12_manifest": (op12_manifest, None),
+    # A weighted parse per conversation; tested against brute force instead.
+    "op13_repair": (op13_repair, None),
 }
