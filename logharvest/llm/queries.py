@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logharvest.llm import chat, cotraining, decontamination, disclosure, line_spread, manifest, packing, quality_rules, randomness, repair, simhash_pivots, warc
+from logharvest.llm import chat, cotraining, decontamination, disclosure, line_spread, manifest, mixing, packing, quality_rules, randomness, repair, simhash_pivots, warc
 from logharvest.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,8 @@ QUERIES = {
     "op8_chat": (op8_chat, None),
     "op9_decontamination": (op9_decontamination, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    # A min-cost flow and a seeded cut; tested against a plain mix instead.
+    "op11_mixing": (op11_mixing, None),
     # A hash tree needs recursion over levels; tested against a plain build instead.
     "op12_manifest": (op12_manifest, None),
     # A weighted parse per conversation; tested against brute force instead.
