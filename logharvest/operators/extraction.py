@@ -6,8 +6,10 @@ call, so extraction needs no shuffle at any corpus size.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logharvest import dictionaries as D
@@ -16,6 +18,9 @@ from logharvest.functions.calls import java_quote, library_type
 from logharvest.operators.facts import PARSED, facts_udf
 from logharvest.operators.layout import computed_once
 
+# Executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def mentions_library(content: Column | str, libraries: Sequence[str] = D.LIBRARIES) -> Column:
     """Cheap test in front of the parser. A readable file with a call passes: an
@@ -265,46 +270,84 @@ def imported_names(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.explode("facts.imported").alias("name", "library"))
 
 
-_LEVELS = 31
+_SCOPE_KINDS = ("function", "class")
 
 
-def _blocks(first: Column, last: Column) -> Column:
-    """Aligned blocks ``(level, block)`` of 2^level lines that together are the lines ``first``..``last``."""
-    start, stop = first.cast("bigint"), last.cast("bigint") + 1
+def _sweep(batches):
+    """Innermost scope of each kind per line, over events sorted by (path, place, starts first).
+
+    Per kind a heap of open scopes, largest first on top (then largest name);
+    scopes that ended before a line leave the top as it comes to them. State
+    runs across batches: a path's events are consecutive in the partition.
+    """
+    import heapq
+
+    import pandas as pd
+
+    path, heaps = object(), {}
+    for batch in batches:
+        out_path, out_line, out = [], [], {kind: [] for kind in _SCOPE_KINDS}
+        for p, place, is_line, kind, name, last in zip(
+            batch["path"], batch["place"], batch["is_line"], batch["kind"], batch["name"], batch["last"], strict=True
+        ):
+            if p != path:
+                path, heaps = p, {k: [] for k in _SCOPE_KINDS}
+            if not is_line:
+                if kind in heaps:
+                    heapq.heappush(heaps[kind], (-place, _Descending(name), last, name))
+                continue
+            out_path.append(p)
+            out_line.append(place)
+            for k, heap in heaps.items():
+                while heap and heap[0][2] < place:
+                    heapq.heappop(heap)
+                out[k].append(heap[0][3] if heap else None)
+        yield pd.DataFrame({"path": out_path, "line": out_line, "function_name": out["function"], "class": out["class"]})
 
-    def at(level: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
-        low, high = F.ceil(start / size), F.floor(stop / size)
-        left = F.when((low % 2 == 1) & (low < high), low)
-        right = F.when((high % 2 == 1) & (low + low % 2 < high), high - 1)
-        return F.transform(
-            F.array_compact(F.array(left, right)), lambda b: F.struct(level.alias("level"), b.alias("block"))
-        )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at))
+class _Descending:
+    """Orders names from largest to smallest, for ties of ``first`` in a heap of smallest on top."""
+
+    __slots__ = ("v",)
+
+    def __init__(self, v):
+        self.v = "" if v is None else v
+
+    def __lt__(self, other):
+        return self.v > other.v
+
+    def __eq__(self, other):
+        return self.v == other.v
 
 
 def enclosing_scope(calls: DataFrame, scopes: DataFrame) -> DataFrame:
     """Innermost scope around each call, for tables kept apart.
 
-    ``calls(path, line, …)``, ``scopes(path, kind, name, first, last)``. A scope
-    is laid out as aligned blocks of lines, a few per power of two in its length,
-    and a line lies in one block of each size; so the range condition is a join
-    on (path, level, block) whatever a scope's length, and no pair of call and
-    scope is ever tried in vain. Calls outside any scope stay, with nulls.
+    ``calls(path, line, …)``, ``scopes(path, kind, name, first, last)``. The
+    innermost scope of a kind is the one around the line that starts last (then
+    the largest name). One sorted stream per path of scope starts and distinct
+    call lines, swept with a heap of open scopes per kind: n log n, one row per
+    distinct (path, line), whatever the scopes' lengths and however they
+    overlap. Paths are dealt by hash, so a path is one task; a path is a file.
+    Calls outside any scope, and calls or scopes with a null path or line,
+    stay with nulls.
     """
-
-    def innermost(kind: str) -> Column:
-        return F.max_by("name", F.when(F.col("kind") == kind, F.col("first")))
-
-    laid_out = scopes.select("path", "kind", "name", "first", F.inline(_blocks(F.col("first"), F.col("last"))))
-    places = calls.select("path", "line").distinct().select(
-        "path", "line", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level")
+    path_type = calls.schema["path"].dataType.simpleString()
+    line_type = calls.schema["line"].dataType.simpleString()
+    starts = scopes.where(
+        F.col("path").isNotNull() & F.col("first").isNotNull() & F.col("last").isNotNull() & (F.col("first") <= F.col("last"))
+    ).select(
+        F.col("path").cast(path_type).alias("path"), F.col("first").cast("bigint").alias("place"), F.lit(False).alias("is_line"),
+        F.col("kind").cast("string").alias("kind"), F.col("name").cast("string").alias("name"), F.col("last").cast("bigint").alias("last"),
     )
-    block = F.call_function("shiftright", F.col("line").cast("bigint"), F.col("level"))
-    around = (
-        places.withColumn("block", block).join(laid_out, ["path", "level", "block"])
-        .groupBy("path", "line")
-        .agg(innermost("function").alias("function_name"), innermost("class").alias("class"))
+    lines = calls.where(F.col("path").isNotNull() & F.col("line").isNotNull()).select(
+        "path", F.col("line").cast("bigint").alias("place")
+    ).distinct().select(
+        "path", "place", F.lit(True).alias("is_line"), F.lit(None).cast("string").alias("kind"),
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("last"),
     )
+    events = starts.unionByName(lines).repartition("path").sortWithinPartitions("path", "place", "is_line")
+    around = events.mapInPandas(
+        _sweep, f"path {path_type}, line bigint, function_name string, class string"
+    ).select("path", F.col("line").cast(line_type).alias("line"), "function_name", "class")
     return calls.join(around, ["path", "line"], "left")

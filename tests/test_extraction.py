@@ -318,3 +318,31 @@ def test_counting_splits_no_file(spark, rows):
     for count in (C.total_calls, C.level_counts, C.library_counts):
         plan = count(kept)._jdf.queryExecution().optimizedPlan().toString()
         assert "split(" not in plan and "sha2" not in plan
+
+
+def test_enclosing_scope_sweep_on_a_large_path(spark):
+    """100,000 calls and 2,000 overlapping, unnested scopes in one path, against a plain scan."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, m = 100_000, 2_000
+    lines = rng.integers(0, 200_000, n)
+    first = rng.integers(0, 200_000, m)
+    last = first + rng.choice([0, 3, 500, 20_000, 150_000], m)
+    kinds = rng.choice(["function", "class"], m)
+    names = [f"s{i % 1500}" for i in range(m)]  # equal starts are told apart by the larger name
+    calls = spark.createDataFrame([("p", int(x)) for x in lines], "path string, line long")
+    scopes = spark.createDataFrame(
+        [("p", str(k), nm, int(a), int(b)) for k, nm, a, b in zip(kinds, names, first, last)],
+        "path string, kind string, name string, first long, last long")
+    got = E.enclosing_scope(calls, scopes).toPandas()
+    assert len(got) == n
+    for kind, column in (("function", "function_name"), ("class", "class")):
+        best = np.full(n, -1)
+        best_name = np.array([""] * n, dtype=object)
+        for i in np.flatnonzero(kinds == kind):
+            inside = (lines >= first[i]) & (lines <= last[i])
+            better = inside & ((first[i] > best) | ((first[i] == best) & (best_name < names[i]).astype(bool)))
+            best[better], best_name[better] = first[i], names[i]
+        want = dict(zip(lines.tolist(), [x or None for x in best_name.tolist()]))
+        assert [want[x] for x in got.line] == got[column].tolist()
