@@ -67,6 +67,12 @@ def term_matches(spark, sf_dir):
     return _shown(M.match_terms(files(spark, sf_dir), TERMS))
 
 
+def term_table_matches(spark, sf_dir):
+    """``term_matches`` with the terms given as a table."""
+    terms = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TERMS)], "priority long, framework string, term string")
+    return _shown(M.match_term_table(files(spark, sf_dir), terms))
+
+
 def page_matches(spark, sf_dir):
     """Terms in whole pages, the host being the repository."""
     pages = texts(spark, sf_dir, "pages").select(
@@ -179,6 +185,9 @@ FROM best"""),
     "term_matches": (
         term_matches,
         _HITS_SQL + "SELECT repository_full_name, path, CAST(priority AS BIGINT) AS priority, framework, term FROM h JOIN t ON priority = p"),
+    "term_table_matches": (
+        term_table_matches,
+        _HITS_SQL + "SELECT repository_full_name, path, CAST(priority AS BIGINT) AS priority, framework, term FROM h JOIN t ON priority = p"),
     "first_matches": (first_matches, _BEST_SQL + _MATCH_SELECT),
     "page_matches": (page_matches, _PAGES_SQL + _MATCH_SELECT),
     "streamed_matches": (streamed_matches, _BEST_SQL + _MATCH_SELECT),

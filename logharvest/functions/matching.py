@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from logharvest import dictionaries as D
 from logharvest.functions.calls import java_quote
 from logharvest.functions.text import col
 
+# Executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def term_pattern(term: str, mode: str = "file") -> str:
     """Pattern for an import term, to be searched in lower-cased text.
@@ -55,3 +60,63 @@ def smell_label(text: Column | str, smells: Sequence[str] = tuple(D.SMELLS)) ->
     return F.coalesce(
         *[F.when(F.contains(lowered, F.lit(s.lower())), F.lit(s)) for s in smells]
     )
+
+
+# A dictionary table is built into one automaton on the driver: at most this many
+# terms and bytes of terms, checked before anything is shipped.
+MAX_TERMS = 2_000_000
+MAX_TERM_BYTES = 256 << 20
+_SPACE_RUN = r"[ \t\n\x0b\x0c\r]+"
+
+
+def term_automaton(terms: Sequence[tuple[int, str, str]], mode: str = "file") -> bytes:
+    """A pickled Aho–Corasick automaton of ``(priority, framework, term)`` rows.
+
+    Keys are the terms lower-cased with their words one space apart; the value
+    of a key is the list of its rows, best priority first.
+    """
+    import pickle
+
+    import ahocorasick
+
+    if len(terms) > MAX_TERMS or sum(len(t.encode()) for _, _, t in terms) > MAX_TERM_BYTES:
+        raise ValueError(f"a dictionary of terms holds at most {MAX_TERMS} terms and {MAX_TERM_BYTES} bytes")
+    term_pattern("x", mode)  # the mode is known
+    rows: dict[str, list] = {}
+    for priority, framework, term in sorted(terms, key=lambda r: r[0]):
+        key = " ".join(term.lower().split())
+        if key:
+            rows.setdefault(key, []).append((priority, framework, term))
+    automaton = ahocorasick.Automaton()
+    for key, found in rows.items():
+        automaton.add_word(key, found)
+    automaton.make_automaton()
+    return pickle.dumps((automaton, mode))
+
+
+def first_terms(lowered: Sequence[str | None], automaton, mode: str, patterns: dict) -> list[tuple | None]:
+    """Per lower-cased text the first row ``(priority, framework, term)`` whose pattern matches, or None.
+
+    One pass of the automaton over the text with its runs of space one space
+    finds every term that could match (a superset); their patterns are then
+    tried by priority, so the result is that of the chain of patterns.
+    """
+    import re
+
+    out = []
+    for text in lowered:
+        if text is None:
+            out.append(None)
+            continue
+        flat = re.sub(_SPACE_RUN, " ", text)
+        candidates = sorted({row for _, rows in automaton.iter(flat) for row in rows})
+        hit = None
+        for priority, framework, term in candidates:
+            pattern = patterns.get(term)
+            if pattern is None:
+                pattern = patterns[term] = re.compile(term_pattern(term, mode), re.ASCII)
+            if pattern.search(text):
+                hit = (priority, framework, term)
+                break
+        out.append(hit)
+    return out

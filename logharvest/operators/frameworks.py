@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from logharvest import dictionaries as D
-from logharvest.functions.matching import first_term
+from logharvest.functions.matching import first_term, first_terms, term_automaton
 from logharvest.operators.catalogue import KEY
 from logharvest.operators.layout import computed_once
 
@@ -33,6 +33,45 @@ def match_terms(
     return found.select(KEY, "path", "hit.*")
 
 
+def match_term_table(files: DataFrame, terms: DataFrame, mode: str = "file") -> DataFrame:
+    """``match_terms`` with the dictionary as a table ``(priority, framework, term)`` of any size.
+
+    The table is size-checked and built into one Aho–Corasick automaton,
+    broadcast once; each text is lower-cased by Spark and read in one pass, and
+    only the terms found are tried as patterns. Equal to the chain of patterns
+    for the same terms (Python patterns in ASCII mode, which are Java's here).
+    Null texts and priorities find nothing; equal priorities go by term.
+    """
+    import pickle
+
+    rows = [(int(r[0]), r[1], r[2]) for r in terms.select("priority", "framework", "term").dropna().collect()]
+    shipped = files.sparkSession.sparkContext.broadcast(term_automaton(rows, mode))
+    lowered = files.select(KEY, "path", F.lower("content").alias("lowered"))
+    key_type = lowered.schema[KEY].dataType.simpleString()
+    path_type = lowered.schema["path"].dataType.simpleString()
+
+    def scan(batches):
+        import pandas as pd
+
+        automaton, how = pickle.loads(shipped.value)
+        patterns: dict = {}
+        for batch in batches:
+            hits = first_terms(batch["lowered"].tolist(), automaton, how, patterns)
+            kept = [i for i, h in enumerate(hits) if h is not None]
+            if not kept:
+                continue
+            yield pd.DataFrame({
+                KEY: batch[KEY].iloc[kept].tolist(),
+                "path": batch["path"].iloc[kept].tolist(),
+                "priority": [hits[i][0] for i in kept],
+                "framework": [hits[i][1] for i in kept],
+                "term": [hits[i][2] for i in kept],
+            })
+
+    schema = f"{KEY} {key_type}, path {path_type}, priority bigint, framework string, term string"
+    return lowered.mapInPandas(scan, schema)
+
+
 def _hits(files: DataFrame, terms: Sequence[tuple[str, str]], mode: str) -> DataFrame:
     # Lower-cased once per file, not once per term, and searched once, not for
     # the test and for the result.
