@@ -97,8 +97,8 @@ def id_lists(spark, sf_dir):
     return lists.select("library", "log_level", X.split_ids("snippet_ids").alias("snippet_id"))
 
 
-def _write_documents(records, path, opening, closing):
-    """One indented JSON document per partition, from one text per record."""
+def _write_documents(records, path, opening, closing, sep="\n"):
+    """One JSON document per partition, from one text per record; ``sep`` between records' lines."""
     def document(batches):
         # A record is held back until it is known whether a comma follows it.
         previous, comma = opening, ""
@@ -108,7 +108,7 @@ def _write_documents(records, path, opening, closing):
                 previous, comma = record, ","
         yield pa.RecordBatch.from_pydict({"value": [previous, closing]})
 
-    records.mapInArrow(document, "value STRING").write.text(path)
+    records.mapInArrow(document, "value STRING").write.option("lineSep", sep).text(path)
 
 
 def _json_string(column):
@@ -133,6 +133,16 @@ def json_array_records(spark, sf_dir):
     return back.select("conv_id", "function", F.md5("llm_output").alias("output_md5"))
 
 
+def json_compact_records(spark, sf_dir):
+    """Conversations as arrays on one line each, read back by many tasks, whatever the layout."""
+    turns = spread(table(spark, sf_dir, "conversations"))
+    record = F.to_json(F.struct("conv_id", F.col("role").alias("function"), F.col("text").alias("llm_output")))
+    path = work_folder(spark, "compact")
+    _write_documents(turns.select(record.alias("value")), path, "[", "]", sep=" ")
+    back = documents.read_json_array(spark, path, "conv_id BIGINT, function STRING, llm_output STRING", indent=None)
+    return back.select("conv_id", "function", F.md5("llm_output").alias("output_md5"))
+
+
 def json_map_entries(spark, sf_dir):
     """The same as indented objects keyed by id."""
     turns = spread(table(spark, sf_dir, "conversations"))
@@ -293,6 +303,9 @@ QUERIES = {
     "json_array_records": (
         json_array_records,
         "SELECT conv_id, role AS function, md5(text) AS output_md5 FROM conversations"),
+    "json_compact_records": (
+        json_compact_records,
+        "SELECT conv_id, role AS function, md5(text) AS output_md5 FROM conversations"),
     "json_map_entries": (
         json_map_entries,
         "SELECT conv_id || '-' || turn AS snippet_id, role AS function, md5(text) AS output_md5 FROM conversations"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logharvest.operators.layout import computed_once
 from logharvest.schemas import LABEL_ENTRY
+from logharvest.sources import json_split
 
 _STRICT = {"allowSingleQuotes": "false"}
 
@@ -26,10 +27,11 @@ def read_json_array(
     with two-space indentation, 0 where records begin at the line start. A file
     with that indentation is read by many tasks; one in any other layout is
     read whole, by one. Text that is no array of such records is an error.
-    ``None`` reads files in any layout, each by a single task: for small files.
+    ``None`` reads files in any layout, compact ones too, by many tasks
+    (``json_split``): a scan over the lexer's states finds the records.
     """
     if indent is None:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return json_split.read_json_records(spark, path, schema)
     pad = " " * indent
     pieces = spark.read.text(path, lineSep=f"\n{pad}}},\n{pad}{{\n")
     value = F.regexp_replace("value", r"\A\x{FEFF}", "")
@@ -65,12 +67,12 @@ def read_json_map(
 ) -> DataFrame:
     """Entries of a JSON object keyed by id, one row each.
 
-    ``indent`` as in :func:`read_json_array`: the column at which keys start.
+    ``indent`` as in :func:`read_json_array`: the column at which keys start;
+    ``None``: any layout, by many tasks, and a truncated file is an error.
     """
     schema = f"MAP<STRING, {entry}>"
     if indent is None:
-        document = spark.read.text(path, wholetext=True)
-        parsed = document.select(F.from_json("value", schema, _STRICT).alias("m"))
+        return json_split.read_json_entries(spark, path, entry, key)
     else:
         pieces = spark.read.text(path, lineSep="\n" + " " * indent + "},\n")
         body = F.regexp_replace("value", r"\A\s*\{", "")
