@@ -155,15 +155,19 @@ def tree(nodes: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     return joined, tops
 
 
-def manifest(docs: DataFrame, group: str = "lang") -> DataFrame:
+def manifest(docs: DataFrame, group: str = "lang", extra: dict[str, Column] | None = None) -> DataFrame:
     """Per row: ``doc_id, leaf, subroot, root, proof`` (the sibling digests, leaf to root), ``path``.
 
-    ``path`` holds the steps to fold a leaf to the root (``fold``).
+    ``path`` holds the steps to fold a leaf to the root (``fold``). ``extra``
+    columns of a row are worked out before the tree and come out beside it; no
+    other field of a document (texts least of all) goes through the tree.
     """
+    extra = extra or {}
     leaves = docs.select(
         F.col(group).alias("g"),
         leaf_digest({name: F.col(name) for name in FIELDS}).alias("h"),
-        *[F.col(name).alias(f"f_{name}") for name in FIELDS],
+        F.col("doc_id").alias("f_doc_id"),
+        *[value.alias(f"x_{name}") for name, value in extra.items()],
     )
     below, subroots = tree(leaves, [F.col("f_doc_id").asc_nulls_first(), F.col("h").asc()])
     # Subroots are one group, ordered by their group's value.
@@ -183,7 +187,7 @@ def manifest(docs: DataFrame, group: str = "lang") -> DataFrame:
         "root",
         F.array_join(F.transform(path, lambda s: F.coalesce(s["sib"], F.lit(""))), "").alias("proof"),
         path.alias("path"),
-        *[F.col(f"f_{name}").alias(name) for name in FIELDS if name != "doc_id"],
+        *[F.col(f"x_{name}").alias(name) for name in extra],
     )
 
 
@@ -199,10 +203,10 @@ def audit(docs: DataFrame) -> DataFrame:
     ``folded_root`` folds the leaf of the row so changed along the original
     siblings, and ``verified`` says whether it gives the root.
     """
-    m = manifest(docs)
     changed = {name: F.col(name) for name in FIELDS} | {"n_chars": F.col("n_chars") + 1}
-    start = F.when(tampered(m), leaf_digest(changed)).otherwise(F.col("leaf"))
-    folded = fold(start, F.col("path"))
+    start = F.when(tampered(docs), leaf_digest(changed)).otherwise(leaf_digest({name: F.col(name) for name in FIELDS}))
+    m = manifest(docs, extra={"start": start})
+    folded = fold(F.col("start"), F.col("path"))
     return m.select(
         "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
         folded.alias("folded_root"), (folded == F.col("root")).alias("verified"),
