@@ -91,7 +91,7 @@ def _kappa_by(a, b):
 
 def _merged(a, b):
     """Full rows of both sides; the name both share gets suffixes."""
-    return A.merge_annotations(a, b.drop("smell"), "snippet_id", "snippet_id")
+    return A.merge_annotations(a, b.drop("smell"), "snippet_id", "snippet_id", null_ids=True)
 
 
 QUERIES = {

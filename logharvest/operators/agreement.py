@@ -74,13 +74,13 @@ def pair_annotations(a: DataFrame, b: DataFrame, smell_from: str = "a") -> DataF
     )
 
 
-def merge_annotations(a: DataFrame, b: DataFrame, on_a: str, on_b: str, null_ids: bool = True) -> DataFrame:
+def merge_annotations(a: DataFrame, b: DataFrame, on_a: str, on_b: str, null_ids: bool = False) -> DataFrame:
     """All columns of matching rows; names on both sides get ``_a`` and ``_b``.
 
     Equal rows of a side are folded first; ``n_pairs`` says how many row pairs
-    a result row stands for (1 wherever ids are unique). Rows without an id match
-    each other, every one on one side every one on the other; ``null_ids=False``
-    leaves them out.
+    a result row stands for (1 wherever ids are unique). Rows without an id are
+    left out; with ``null_ids`` they match each other, every one on one side
+    every one on the other (as many rows as the product of their numbers).
     """
     if not null_ids:
         a, b = a.dropna(subset=[on_a]), b.dropna(subset=[on_b])

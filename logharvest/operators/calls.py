@@ -191,12 +191,13 @@ def unique_function_ids(calls: DataFrame) -> DataFrame:
 SHARDS = 1024
 
 
-def unique_functions(calls: DataFrame, shards: int = 1) -> DataFrame:
+def unique_functions(calls: DataFrame, shards: int) -> DataFrame:
     """Counts with sorted id lists: ``(library, log_level, part, unique_function_count, snippet_ids)``.
 
     Every group is dealt over ``shards`` lists by a hash of its ids, whatever its
-    size; a list has one entry per call, also where short ids collide. One list, the
-    default, is for groups known to fit a row; others take ``SHARDS``. For ids
+    size; a list has one entry per call, also where short ids collide. The
+    number is the caller's to give: one list only for groups known to fit a
+    row; others take ``SHARDS``. For ids
     without lists, which no group makes too long for a row, join
     ``unique_function_ids`` with ``unique_function_counts``.
     """

@@ -74,7 +74,15 @@ def read_json_map(
     if indent is None:
         return json_split.read_json_entries(spark, path, entry, key)
     else:
-        pieces = spark.read.text(path, lineSep="\n" + " " * indent + "},\n")
+        pieces = spark.read.text(path, lineSep="\n" + " " * indent + "},\n").withColumn("file", F.col("_metadata.file_path"))
+        # A whole file has one piece that closes the object: a truncated one has none.
+        closing = F.col("value").rlike("\n" + " " * indent + r"\}\s*\}\s*\z") | F.col("value").rlike(r"\A\s*\{\s*\}\s*\z")
+        closes = pieces.groupBy(F.col("file").alias("f")).agg(F.sum(closing.cast("int")).alias("closes"))
+        pieces = pieces.join(F.broadcast(closes), F.col("file") == F.col("f")).select(
+            F.when(F.col("closes") == 1, F.col("value"))
+            .otherwise(F.raise_error(F.concat(F.lit("not one whole JSON object: "), F.col("file"))))
+            .alias("value")
+        )
         body = F.regexp_replace("value", r"\A\s*\{", "")
         # The last piece ends with its own brace and that of the object.
         body = F.regexp_replace(body, "\n" + " " * indent + r"\}\s*\}\s*\z", "")

@@ -45,7 +45,7 @@ def test_unique_functions(calls, rows):
         ("logging", "info", 1), ("logging", "unknown", 1), ("logging", "warn", 1), ("wandb", None, 1), (None, None, 1)
     ], key=repr)
     assert ("logging", "unknown", "s3") in rows(C.unique_function_ids(calls))
-    lists = rows(C.unique_functions(calls), "library", "log_level", "part", "snippet_ids")
+    lists = rows(C.unique_functions(calls, 1), "library", "log_level", "part", "snippet_ids")
     assert (None, None, 0, ["s6"]) in lists
 
 

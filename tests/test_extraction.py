@@ -279,7 +279,7 @@ def test_calls_with_one_short_id_stay_apart(spark, rows):
         "function string, file_path string, position int")
     ids = C.unique_function_ids(calls)
     assert ids.count() == 3
-    assert C.unique_functions(calls).first().snippet_ids == ["snip_00000000"] * 3
+    assert C.unique_functions(calls, 1).first().snippet_ids == ["snip_00000000"] * 3
     assert W.stratified_sample(ids).count() == 3
     chosen = W.balanced_sample(ids, 2)
     assert chosen.count() == 2 and chosen.columns == ["call_key", "snippet_id"]

@@ -58,3 +58,13 @@ def test_broken_files_raise(spark, tmp_path, small_splits, kind):
 def test_empty_array_gives_no_rows(spark, tmp_path):
     (tmp_path / "a.json").write_text(" [ ]\n")
     assert J.read_json_records(spark, str(tmp_path), "conv_id BIGINT").count() == 0
+
+
+def test_indented_object_that_is_cut_off_raises(spark, tmp_path):
+    entries = {f"k{i}": {"function": "x", "llm_output": "y"} for i in range(5)}
+    text = json.dumps(entries, indent=2)
+    (tmp_path / "a.json").write_text(text[: text.rindex("}")])
+    with pytest.raises(Exception):
+        documents.read_json_map(spark, str(tmp_path), "STRUCT<function: STRING, llm_output: STRING>").collect()
+    (tmp_path / "a.json").write_text(text)
+    assert documents.read_json_map(spark, str(tmp_path), "STRUCT<function: STRING, llm_output: STRING>").count() == 5
