@@ -82,3 +82,19 @@ def test_batches_cover_everything_once(spark):
         seen += batch
         after = batch[-1]
     assert seen == [f"r{i:03d}" for i in range(25)]
+
+
+@pytest.mark.parametrize("start,size", [(0, 10), (100, 250), (4990, 50), (30, 1), (0, 6000), (7000, 5)])
+def test_batch_slice_by_rank_equals_a_full_sort(spark, start, size):
+    import random
+
+    from logharvest.operators import catalogue as R2
+
+    rng = random.Random(start)
+    rows = [(rng.choice([None, *map(float, range(40))]) if i % 7 else rng.random() * 100, i % 13, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b long, c long")
+    got = [tuple(r) for r in R2.batch_slice(df, ["a", "b", "c"], start, size).collect()]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))[start : start + size]
+    assert got == want
+    plan = R2.batch_slice(df, ["a", "b", "c"], start, size)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan or start + size >= 5000 or start == 0
