@@ -141,7 +141,7 @@ def appended_matches(spark, sf_dir):
     path = work_folder(spark, "matches")
     for batch_id, part in enumerate([found.filter(F.col(R.KEY).endswith("/en")), found, found]):
         sinks.append_unique(part, path, R.KEY, batch_id)
-    return _shown(spark.read.parquet(path).drop("batch_id"))
+    return _shown(spark.read.parquet(path).drop("batch_id", "key_bucket"))
 
 
 def next_batch(spark, sf_dir):

@@ -88,23 +88,71 @@ def write_files(files: DataFrame, path: str, by: str = "project_name") -> None:
     balanced.write.mode("overwrite").parquet(path)
 
 
-def append_unique(batch: DataFrame, path: str, key: str, batch_id: int) -> None:
-    """Append the rows of ``batch`` whose key the table does not hold yet.
-
-    The batch has its own folder, which a repeated run overwrites, and is
-    compared with the other folders only: running it twice changes nothing.
-    Of rows of the batch with one key, the least is kept; a null key is a key.
+# Folders of a keyed table and 32,768-bit bitmaps per folder in its key index;
+# both are fixed once a table has rows.
+KEY_BUCKETS = 64
+CHUNKS_PER_BUCKET = 16
+_BITS = 32768
+
+
+def _key_slots(df: DataFrame, key: str) -> DataFrame:
+    """``key_bucket`` (0 to KEY_BUCKETS - 1), ``__chunk`` and ``__bit`` of each key,
+    from one 64-bit hash (a null key hashes like any value)."""
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_BUCKETS * CHUNKS_PER_BUCKET * _BITS)) + 1
+    chunk = F.bitmap_bucket_number(slot)
+    return df.withColumns({
+        "__chunk": chunk,
+        "__bit": F.bitmap_bit_position(slot),
+        "key_bucket": F.pmod(chunk - 1, F.lit(KEY_BUCKETS)).cast("int"),
+    })
+
+
+def append_unique(batch: DataFrame, path: str, key: str, batch_id: int) -> list[int]:
+    """Append the rows of ``batch`` whose key the table does not hold yet; return
+    the key buckets of the table that had to be read.
+
+    The table is partitioned by ``batch_id`` and ``key_bucket`` (a hash of the
+    key). Beside it, ``_key_index`` (hidden from readers of the table) holds per
+    batch and chunk of a bucket a bitmap of the keys' hash bits
+    (``bitmap_construct_agg``). An append ORs the stored bitmaps per chunk
+    (``bitmap_or_agg``) and reads only the buckets where they share a bit with
+    its own keys: a few numbers reach the driver, never keys. The batch's index
+    is written before its rows, so a run cut off between them leaves only a
+    false alarm. The batch has its own folders, which a repeated run
+    overwrites, and is compared with the other batches only: running it twice
+    changes nothing. Of rows of the batch with one key, the least is kept; a
+    null key is a key. An empty batch writes an empty batch.
     """
+    base = path.rstrip("/")
     rest = [c for c in batch.columns if c != key]
     least = F.min(F.struct(*rest)).alias("__row") if rest else F.count(F.lit(1)).alias("__n")
-    batch = batch.groupBy(key).agg(least).select(
+    keyed = _key_slots(batch, key).groupBy("key_bucket", "__chunk", "__bit", key).agg(least).select(
+        "key_bucket", "__chunk", "__bit",
         *[key if c == key else F.col("__row")[c].alias(c) for c in batch.columns])
-    stored = read_parquet_if_any(batch.sparkSession, path)
-    if stored is not None:
-        others = stored.filter(F.col("batch_id") != batch_id).select(key)
-        others = others.withColumnRenamed(key, "__stored")
-        batch = batch.join(others, F.col(key).eqNullSafe(F.col("__stored")), "left_anti")
-    batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    own = keyed.groupBy("__chunk").agg(F.bitmap_construct_agg("__bit").alias("bits"))
+    index = read_parquet_if_any(batch.sparkSession, f"{base}/_key_index")
+    buckets: list[int] = []
+    if index is not None:
+        sides = own.select("__chunk", "bits", F.lit(True).alias("mine")).unionByName(
+            index.filter(F.col("batch_id") != batch_id).select("__chunk", "bits", F.lit(False).alias("mine")))
+        shared = sides.groupBy("__chunk").agg(
+            F.bitmap_count(F.bitmap_or_agg("bits")).alias("both"),
+            F.bitmap_count(F.bitmap_or_agg(F.when(F.col("mine"), F.col("bits")))).alias("mine"),
+            F.bitmap_count(F.bitmap_or_agg(F.when(~F.col("mine"), F.col("bits")))).alias("theirs"),
+        ).filter((F.col("mine") > 0) & (F.col("theirs") > 0) & (F.col("both") < F.col("mine") + F.col("theirs")))
+        found = shared.select(F.pmod(F.col("__chunk") - 1, F.lit(KEY_BUCKETS)).cast("int").alias("b")).distinct()
+        buckets = sorted(r.b for r in found.collect())  # at most KEY_BUCKETS numbers
+    rows = keyed.drop("__chunk", "__bit")
+    if buckets:
+        stored = batch.sparkSession.read.parquet(base)
+        others = stored.filter((F.col("batch_id") != batch_id) & F.col("key_bucket").isin(buckets)).select(
+            F.col("key_bucket").alias("__b"), F.col(key).alias("__stored"))
+        rows = rows.join(others, (F.col("key_bucket") == F.col("__b")) & F.col(key).eqNullSafe(F.col("__stored")),
+                         "left_anti")
+    own.write.mode("overwrite").parquet(f"{base}/_key_index/batch_id={batch_id}")
+    rows.repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(
+        f"{base}/batch_id={batch_id}")
+    return buckets
 
 
 def write_index_csv(df: DataFrame, path: str, order: list[str]) -> None:

@@ -217,6 +217,36 @@ def test_append_unique_is_idempotent(spark, tmp_path, rows):
     assert rows(spark.read.parquet(path), "k", "v") == [("a", 1), ("b", 1), ("c", 2)]
 
 
+def test_append_unique_reads_only_buckets_that_may_hold_its_keys(spark, tmp_path, rows):
+    path = str(tmp_path / "m")
+    batch = lambda keys: spark.createDataFrame([(k, 1) for k in keys], "k string, v int")
+    assert sinks.append_unique(batch([f"k{i}" for i in range(3000)]), path, "k", 0) == []
+    # one new key and one known key: at most two buckets are read
+    read = sinks.append_unique(batch(["new", "k17", "k17"]), path, "k", 1)
+    assert 1 <= len(read) <= 2
+    assert rows(spark.read.parquet(path).filter("batch_id = 1"), "k") == [("new",)]
+    # keys the table does not share a bit with read nothing
+    assert sinks.append_unique(batch([]), path, "k", 2) == []
+    assert spark.read.parquet(path).count() == 3001
+    assert spark.read.parquet(path).select("k").distinct().count() == 3001
+
+
+def test_append_unique_equals_a_plain_anti_join(spark, tmp_path, rows):
+    import random
+
+    rng = random.Random(5)
+    path = str(tmp_path / "m")
+    seen, want = set(), []
+    for b in range(4):
+        keys = [rng.choice([None, *map(str, range(400))]) for _ in range(300)]
+        sinks.append_unique(spark.createDataFrame([(k, b) for k in keys], "k string, v int"), path, "k", b)
+        for k in sorted(set(keys), key=repr):
+            if k not in seen:
+                seen.add(k)
+                want.append((k, b))
+    assert rows(spark.read.parquet(path), "k", "v") == sorted(want, key=repr)
+
+
 def test_index_and_kappa_folders(spark, tmp_path):
     df = spark.createDataFrame([("b",), ("a",)], "x string")
     sinks.write_index_csv(df, str(tmp_path / "i"), ["x"])
