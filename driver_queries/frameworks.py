@@ -120,6 +120,23 @@ def streamed_matches(spark, sf_dir):
     return _shown(scan.framework_matches(spark, _streamed(spark, sf_dir)))
 
 
+def stateful_matches(spark, sf_dir):
+    """The stream with each repository's best match as keyed state."""
+    schema = table(spark, sf_dir, "documents").schema
+    folder = work_folder(spark, "stateful-scan")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(
+        f"{sf_dir}/documents.parquet*")
+    arriving = stream.select(
+        F.concat_ws("/", "source", "lang").alias(R.KEY),
+        F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"),
+                 F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
+        F.col("text").alias("content"),
+    )
+    scan.scan_frameworks_with_state(arriving, f"{folder}/results", f"{folder}/checkpoint", TERMS).awaitTermination()
+    found = scan.scan_state_results(spark, f"{folder}/results")
+    return _shown(found.filter(F.col("priority").isNotNull()).select(R.KEY, *M.MATCH_COLUMNS))
+
+
 def scan_progress(spark, sf_dir):
     """All repositories are known, those of one language have been scanned."""
     every = files(spark, sf_dir)
@@ -191,6 +208,7 @@ FROM best"""),
     "first_matches": (first_matches, _BEST_SQL + _MATCH_SELECT),
     "page_matches": (page_matches, _PAGES_SQL + _MATCH_SELECT),
     "streamed_matches": (streamed_matches, _BEST_SQL + _MATCH_SELECT),
+    "stateful_matches": (stateful_matches, _BEST_SQL + _MATCH_SELECT),
     "scan_progress": (scan_progress, _PROGRESS_SQL),
     "appended_matches": (appended_matches, _BEST_SQL + _MATCH_SELECT),
     "next_batch": (
