@@ -14,7 +14,7 @@ from logharvest.operators import extraction as E
 from logharvest.operators import survey as S
 from logharvest.operators.layout import spread
 from logharvest.operators.notebooks import broken_notebooks, flatten_notebooks
-from logharvest.schemas import KEYED_FILTERED_FILE_CALLS
+from logharvest.schemas import ONCE_FILTERED_FILE_CALLS
 from logharvest.session import stored, work_folder
 from logharvest.plans.agreement import write_kappa_study
 from logharvest.sources import code, documents, sinks, tables
@@ -64,11 +64,11 @@ def catalogue_parquet(spark, sf_dir):
 
 
 def json_round_trip(spark, sf_dir):
-    """Filtered records through JSON lines."""
+    """Filtered records through JSON lines, each file's functions written once and put into its calls on reading."""
     path = work_folder(spark, "json")
     data = C.filter_file_calls(E.build_call_dataset(parsed(spark, sf_dir), bodies=False))
-    sinks.write_json(E.with_bodies(data), path)
-    calls = E.explode_calls(spark.read.schema(KEYED_FILTERED_FILE_CALLS).json(path))
+    sinks.write_json(data, path, compression="gzip")
+    calls = E.explode_calls(E.with_bodies(spark.read.schema(ONCE_FILTERED_FILE_CALLS).json(path)))
     return calls.select("call_key", "snippet_id", "snippet", "library", F.md5("function").alias("function_md5"))
 
 

@@ -23,6 +23,10 @@ FILTERED_FILE_CALLS = f"library STRING, library_type STRING, snippets ARRAY<{SNI
 KEYED_SNIPPET = SNIPPET.replace("STRUCT<", "STRUCT<call_key: STRING, ", 1)
 KEYED_FILTERED_FILE_CALLS = FILTERED_FILE_CALLS.replace(SNIPPET, KEYED_SNIPPET)
 
+# The same with each function once per file, calls with its number (``extraction.with_bodies``).
+ONCE_SNIPPET = KEYED_SNIPPET.replace(" function: STRING", " function_ix: INT")
+ONCE_FILTERED_FILE_CALLS = FILTERED_FILE_CALLS.replace(SNIPPET, ONCE_SNIPPET) + ", functions ARRAY<STRING>"
+
 FRAMEWORK_MATCHES = (
     "repository_full_name STRING, matched_framework STRING, matched_term STRING, "
     "matched_file_name STRING, matched_file_path STRING, priority INT"

@@ -32,9 +32,9 @@ def join_lists(df: DataFrame, sep: str = ";") -> DataFrame:
     return df.withColumns({c: F.array_join(c, sep) for c in lists})
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, compression: str = "none") -> None:
     """JSON lines, non-ASCII text and null fields kept as they are."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
 def write_json_array(df: DataFrame, path: str) -> None:

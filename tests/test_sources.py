@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -8,6 +9,7 @@ from pyspark.errors import AnalysisException
 from logharvest.functions import text as X
 from logharvest.operators import labels as L
 from logharvest.schemas import FILTERED_FILE_CALLS
+from logharvest.session import shared_folder
 from logharvest.sources import code, documents, sinks, tables
 
 
@@ -194,6 +196,22 @@ def test_json_writers_keep_nulls(spark, tmp_path):
     assert '"y":null' in read("l")
 
 
+def test_json_round_trip_writes_no_more_than_its_files_need(spark, tmp_path):
+    """Many calls in one large function: the function is on disk once, and in every call that is read back."""
+    from driver_queries.tables import json_round_trip
+
+    text = "\n".join(f"{i} {i * i} some words of line {i % 89}" for i in range(400))
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING"
+    docs = spark.createDataFrame([(1, text, "fr", "src1"), (2, None, "en", "src1")], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    base = Path(shared_folder(spark).removeprefix("file:"))
+    there = set(base.glob("json-*"))
+    calls = json_round_trip(spark, str(tmp_path)).collect()
+    assert len(calls) > 80 and {r.library for r in calls} == {"mlflow"} and len({r.function_md5 for r in calls}) == 1
+    folder, = set(base.glob("json-*")) - there
+    assert sum(f.stat().st_size for f in folder.glob("part-*")) < 20 * len(text)
+
+
 def test_csv_cells_keep_their_blanks(spark, tmp_path, rows):
     df = spark.createDataFrame([("    def f():\n        return 1\n",), ("   ",), ("\t",)], "x string")
     sinks.write_csv(df, str(tmp_path / "c"))
