@@ -13,23 +13,26 @@ by group (null first, UTF-8 bytewise), make the root the same way.
 How: a node's place in its level is a dense position, so its sibling sits at a
 fixed offset. Positions come from a range partitioning: counts per partition
 and group give each partition's first position, and a row number inside the
-partition the rest, so no group is ever one task. A level is then one window
-per (group, block of ``2 ** BLOCK_BITS`` positions): ``lead`` of an even node is
-its right sibling if its position is the next one, ``lag`` of an odd node its
-left one; even nodes (the first children) hash the parents. Each level is
-written to the shared folder, and half as large as the one below.
-
-Proofs: a node's path is its own step (sibling digest or null, and its side)
-followed by its parent's path; paths are joined top-down on the parent's
-position, one level at a time. A leaf's proof is its path within its group,
-then its subroot's path among subroots. Verifying folds a leaf along its path
-with ``aggregate``; everything stays in Spark's own functions.
+partition the rest, so no group is ever one task. ``BLOCK_BITS`` levels are then
+one stage of windows per (group, block of ``2 ** BLOCK_BITS`` positions). Every
+row of a block carries the digest of its node at the level reached; the sibling
+of level ``k`` is ``lead`` or ``lag`` by ``2 ** k`` rows, or the block's last row
+where the last run is shorter; from both comes the digest of the next level. The
+blocks' tops are the rows of the next tier, ``2 ** BLOCK_BITS`` times fewer.
+
+Proofs: a node's path is its own steps (sibling digest or null, and its side)
+followed by its block top's path; paths are joined top-down on the block, one
+tier at a time, subroots' paths first. The windows of a tier are run once for
+the tops and once more for the paths: so paths of leaves, ``n log n`` digests,
+are neither stored nor shuffled, only folded in the task that made them.
+Verifying folds a leaf along its path with ``aggregate``; everything stays in
+Spark's own functions.
 
 Edge cases: nulls as above (a null group is a group of its own, ordered
 first); empty and very long texts are hashed whole; repeated rows are leaves of
 their own (equal leaves, adjacent); an empty table gives no rows; extra columns
-are ignored, names need not be free. Scale: the paths of all leaves hold
-``n log n`` digests, which is what a proof per leaf is.
+are ignored, names need not be free. Scale: what is stored and shuffled is a
+fixed number of bytes per leaf; time is ``n log n``, a proof per leaf.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logharvest.session import stored
 
-BLOCK_BITS = 12
+BLOCK_BITS = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -57,74 +60,95 @@ def leaf_digest(row: dict[str, Column]) -> Column:
 
 
 def positions(nodes: DataFrame, order: list[Column]) -> DataFrame:
-    """``nodes`` (with ``g``, the group) and ``pos``: rank from 0 inside ``g`` by ``order``.
+    """``nodes`` (with ``g``, the group) and ``gk`` (the group's key, not null), ``pos`` (rank
+    from 0 inside the group by ``order``) and ``n`` (the group's count of nodes).
 
     Range partitions ordered by (g, order); a partition's first position in a
     group is the count of that group's rows in earlier partitions.
     """
     keys = [F.col("g").asc_nulls_first(), *order]
-    parted = stored(nodes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "manifest-ranged")
-    counts = parted.groupBy("part", "g").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = nodes.withColumn("gk", encoded(F.col("g"))).repartitionByRange(*keys)
+    parted = stored(ranged.withColumn("part", F.spark_partition_id()), "manifest-ranged")
+    counts = parted.groupBy("part", "gk").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("gk")
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(
-        F.col("part").alias("p2"), F.col("g").alias("g2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
+        F.col("part").alias("p2"), F.col("gk").alias("g2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"),
+        F.sum("n").over(group).alias("n"),
     )
-    inside = Window.partitionBy("part", "g").orderBy(*keys)
+    inside = Window.partitionBy("part", "gk").orderBy(*order)
     ranked = parted.withColumn("rank", F.row_number().over(inside) - 1)
-    on = (F.col("part") == F.col("p2")) & F.col("g").eqNullSafe(F.col("g2"))
-    return ranked.join(firsts, on).select(*nodes.columns, (F.col("first") + F.col("rank")).alias("pos"))
+    on = (F.col("part") == F.col("p2")) & (F.col("gk") == F.col("g2"))
+    return ranked.join(firsts, on).select(*nodes.columns, "gk", (F.col("first") + F.col("rank")).alias("pos"), "n")
 
 
-def _levels(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Steps of every level, and the top node of each group.
+def _climbed(level: DataFrame) -> DataFrame:
+    """``level`` with each node's ``block``, its ``path`` inside the block, and the block's ``top``.
 
-    ``nodes``: ``(g, pos, h, n)`` with ``n`` the group's count of nodes. A step
-    is ``(g, pos, step)``, ``step`` the sibling digest (null in a run of one)
-    and the side (0: left child). A group down to one node stays as it is.
+    ``level``: ``(gk, pos, h, n, …)`` with ``n`` the group's count of nodes. A
+    step is the sibling digest (null in a run of one) and the side (0: left
+    child). A group down to one node stays as it is.
     """
-    most = nodes.agg(F.max("n")).first()[0] or 0
-    depth = max(int(most) - 1, 0).bit_length()
-    steps, level = [], nodes
-    for k in range(depth):
-        alive = F.shiftright(F.col("n") + (1 << k) - 1, k) > 1
-        block = Window.partitionBy("g", F.shiftright("pos", BLOCK_BITS)).orderBy("pos")
-        even = F.col("pos") % 2 == 0
-        sib = F.when(
-            even, F.when(F.lead("pos").over(block) == F.col("pos") + 1, F.lead("h").over(block))
-        ).otherwise(F.lag("h").over(block))
-        here = stored(level.withColumn("sib", sib).withColumn("alive", alive), f"manifest-level-{k}")
-        steps.append(
-            here.where("alive").select("g", "pos", F.struct("sib", (F.col("pos") % 2).cast("int").alias("side")).alias("step"))
-        )
-        parent = F.when(F.col("sib").isNull(), H(F.col("h"))).otherwise(H(F.col("h"), F.col("sib")))
-        level = here.where(~F.col("alive") | even).select(
-            "g",
-            F.when(F.col("alive"), F.shiftright("pos", 1)).otherwise(F.col("pos")).alias("pos"),
-            F.when(F.col("alive"), parent).otherwise(F.col("h")).alias("h"),
-            "n",
-        )
-    return steps, stored(level.select("g", "h"), "manifest-tops")
+    place, rows = F.col("pos"), level.withColumns({"block": F.shiftright("pos", BLOCK_BITS), "top": F.col("h")})
+    block = Window.partitionBy("gk", "block").orderBy("pos")
+    whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    steps = []
+    for k in range(BLOCK_BITS):
+        node, width = F.shiftright(place, k), F.shiftright(F.col("n") + (1 << k) - 1, k)
+        right, top = node % 2 == 1, F.col("top")
+        sib = F.when(right, F.lag(top, 1 << k).over(block)).when(
+            node + 1 < width, F.coalesce(F.lead(top, 1 << k).over(block), F.last(top).over(whole)))
+        rows = rows.withColumn(f"sib_{k}", sib)
+        sib = F.col(f"sib_{k}")
+        parent = F.when(sib.isNull(), H(top)).when(right, H(sib, top)).otherwise(H(top, sib))
+        rows = rows.withColumn("top", F.when(width > 1, parent).otherwise(top))
+        steps.append(F.when(width > 1, F.struct(sib.alias("sib"), right.cast("int").alias("side"))))
+    return rows.select(*level.columns, "block", "top", F.array_compact(F.array(*steps)).alias("path"))
+
+
+def tree(nodes: DataFrame, order: list[Column]) -> tuple[list[DataFrame], DataFrame]:
+    """The tiers of the tree, nodes placed first, then the tops of their blocks, and so
+    on; and per group ``(g, h)``, its top. ``paths`` takes the tiers.
+
+    ``nodes`` has ``g`` (the group) and ``h`` (the digest); ``order`` sorts
+    nodes inside a group.
+    """
+    tiers = [stored(positions(nodes, order), "manifest-placed")]
+    most = tiers[0].agg(F.max("n")).first()[0] or 0
+    while most > 1:
+        first = F.col("pos") % (1 << BLOCK_BITS) == 0
+        tops = _climbed(tiers[-1].select("g", "gk", "pos", "h", "n")).where(first).select(
+            "g", "gk", F.col("block").alias("pos"), F.col("top").alias("h"),
+            F.shiftright(F.col("n") + (1 << BLOCK_BITS) - 1, BLOCK_BITS).alias("n"))
+        tiers.append(stored(tops, f"manifest-tier-{len(tiers)}"))
+        most = (most + (1 << BLOCK_BITS) - 1) >> BLOCK_BITS
+    return tiers, tiers[-1].select("g", "h")
 
 
 def no_steps() -> Column:
     return F.array().cast("array<struct<sib:string,side:int>>")
 
 
-def _paths(steps: list[DataFrame]) -> DataFrame | None:
-    """``(g, pos, path)`` of level 0 nodes that have steps: from the node up to its group's top.
+def paths(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+    """The placed nodes with ``path``: from the node up to its group's top, then the group's path.
 
-    A node's path is its step, then its parent's path (none: the parent is the top).
+    ``above``: per group its value ``g``, its ``path`` and more columns, which its
+    nodes get. Top-down: a tier's nodes go on with the path of their block's top.
     """
-    path = None
-    for k in reversed(range(len(steps))):
-        here = steps[k]
-        if path is not None:
-            up = path.select(F.col("g").alias("g2"), F.col("pos").alias("p2"), F.col("path").alias("up"))
-            on = F.col("g").eqNullSafe(F.col("g2")) & (F.shiftright("pos", 1) == F.col("p2"))
-            here = here.join(up, on, "left")
-        tail = F.coalesce("up", no_steps()) if path is not None else no_steps()
-        path = stored(here.select("g", "pos", F.concat(F.array("step"), tail).alias("path")), f"manifest-paths-{k}")
-    return path
+    def key(value: Column, place: Column) -> list[Column]:
+        return [value.alias("g2"), place.alias("p2"), F.col("path").alias("up")]
+
+    more = [c for c in above.columns if c not in ("g", "path")]
+    # A group's top is the one node, at position 0, of the last tier.
+    up = above.select(*key(encoded(F.col("g")), F.lit(0).cast("bigint")), *more)
+    same_group = F.col("gk") == F.col("g2")
+    tops = tiers[-1].join(up, same_group & (F.col("pos") == F.col("p2"))).withColumnRenamed("up", "path")
+    for k in reversed(range(len(tiers) - 1)):
+        tops = stored(tops.select("gk", "pos", "path", *more), f"manifest-paths-{k + 1}")
+        up = tops.select(*key(F.col("gk"), F.col("pos")), *more)
+        climbed = _climbed(tiers[k]).join(up, same_group & (F.col("block") == F.col("p2")))
+        tops = climbed.withColumn("path", F.concat("path", "up"))
+    return tops.select(*tiers[0].columns, "path", *more)
 
 
 def fold(start: Column, path: Column) -> Column:
@@ -136,25 +160,6 @@ def fold(start: Column, path: Column) -> Column:
     )
 
 
-def tree(nodes: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Per node ``(columns of nodes, pos, path)``, and per group ``(g, top)``.
-
-    ``nodes`` has ``g`` (the group) and ``h`` (the digest); ``order`` sorts
-    nodes inside a group.
-    """
-    placed = positions(nodes, order)
-    sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    counted = placed.select("g", "pos", "h").join(sizes.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2")))
-    steps, tops = _levels(counted.drop("g2"))
-    paths = _paths(steps)
-    if paths is None:
-        return placed.withColumn("path", no_steps()), tops
-    paths = paths.select(F.col("g").alias("g2"), F.col("pos").alias("p2"), "path")
-    on = F.col("g").eqNullSafe(F.col("g2")) & (F.col("pos") == F.col("p2"))
-    joined = placed.join(paths, on, "left").select(*placed.columns, F.coalesce("path", no_steps()).alias("path"))
-    return joined, tops
-
-
 def manifest(docs: DataFrame, group: str = "lang", extra: dict[str, Column] | None = None) -> DataFrame:
     """Per row: ``doc_id, leaf, subroot, root, proof`` (the sibling digests, leaf to root), ``path``.
 
@@ -169,24 +174,20 @@ def manifest(docs: DataFrame, group: str = "lang", extra: dict[str, Column] | No
         F.col("doc_id").alias("f_doc_id"),
         *[value.alias(f"x_{name}") for name, value in extra.items()],
     )
-    below, subroots = tree(leaves, [F.col("f_doc_id").asc_nulls_first(), F.col("h").asc()])
+    tiers, subroots = tree(leaves, [F.col("f_doc_id").asc_nulls_first(), F.col("h").asc()])
     # Subroots are one group, ordered by their group's value.
     tops = subroots.select(F.col("g").alias("lang_g"), F.lit(0).alias("g"), "h")
-    above, root = tree(tops, [F.col("lang_g").asc_nulls_first()])
-    root = root.select(F.col("g").alias("g3"), F.col("h").alias("root"))
-    upper = above.join(root, F.col("g") == F.col("g3")).select(
-        F.col("lang_g").alias("g2"), F.col("h").alias("subroot"), F.col("path").alias("up"), "root"
+    upper, root = tree(tops, [F.col("lang_g").asc_nulls_first()])
+    above = paths(upper, root.select("g", no_steps().alias("path"), F.col("h").alias("root"))).select(
+        F.col("lang_g").alias("g"), "path", F.col("h").alias("subroot"), "root"
     )
-    # One row per group: small beside the leaves.
-    joined = below.join(upper, F.col("g").eqNullSafe(F.col("g2")))
-    path = F.concat("path", "up")
-    return joined.select(
+    return paths(tiers, above).select(
         F.col("f_doc_id").alias("doc_id"),
         F.col("h").alias("leaf"),
         "subroot",
         "root",
-        F.array_join(F.transform(path, lambda s: F.coalesce(s["sib"], F.lit(""))), "").alias("proof"),
-        path.alias("path"),
+        F.array_join(F.transform("path", lambda s: F.coalesce(s["sib"], F.lit(""))), "").alias("proof"),
+        "path",
         *[F.col(f"x_{name}").alias(name) for name in extra],
     )
 

@@ -3,7 +3,12 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+from pathlib import Path
+
+import pytest
+
 from logharvest.llm import manifest as M
+from logharvest.session import shared_folder
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -105,3 +110,21 @@ def test_empty_table_and_clashing_columns(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(1, "a", "en", 1, "x", 9, 8)], DOCS + ", g long, h long")
     assert M.audit(df).count() == 1
+
+
+@pytest.mark.parametrize("bits", [2, 3])
+def test_blocks_of_any_size_make_the_same_tree(spark, monkeypatch, bits):
+    monkeypatch.setattr(M, "BLOCK_BITS", bits)
+    sizes = {"en": 41, "fr": 1, None: 16, "": 17, "-": 9, "é": 2}
+    rows = [(i, "s", lang, i, f"text {i}") for lang, n in sizes.items() for i in range(n)]
+    assert run(spark, rows) == plain(rows)
+
+
+def test_work_files_hold_a_fixed_number_of_bytes_a_leaf(spark):
+    """Paths of leaves, some dozen digests each, are not stored."""
+    rows = [(i, "s", "en", 10, f"text {i}") for i in range(4000)]
+    base = Path(shared_folder(spark).removeprefix("file:"))
+    there = set(base.glob("manifest-*"))
+    assert run(spark, rows) == plain(rows)
+    written = sum(f.stat().st_size for d in set(base.glob("manifest-*")) - there for f in d.glob("part-*"))
+    assert written < 500 * len(rows)
