@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logharvest import dictionaries as D
 from logharvest.operators import calls as C
 from logharvest.operators import extraction as E
-from logharvest.operators.facts import file_facts
+from logharvest.operators.facts import facts_udf, file_facts
 from logharvest.operators.notebooks import broken_notebooks, flatten_notebooks
 
 
@@ -269,6 +270,17 @@ def test_a_row_of_the_data_set_is_linear_in_its_file(spark, tmp_path):
     assert E.explode_calls(kept).where(F.length("function") > 30_000).count() == 3000
 
 
+def test_facts_leave_the_worker_in_pieces(spark):
+    """A batch of any size: no more than 256 files, or a file more than 2**20 characters, are held as objects."""
+    source = "import logging\nlogging.info(1)\n"
+    texts = [source, None, "broken = ("] * 300 + [source + "# " + "x" * 700_000] * 5
+    batches = [pa.array(texts, pa.string()), pa.array([], pa.string()), pa.array([source], pa.string())]
+    pieces = list(facts_udf(["logging"]).func(iter(batches)))
+    assert max(len(p) for p in pieces) <= 256 and len(pieces) == 7
+    facts = [f for p in pieces for f in p.to_pylist()]
+    assert [f["status"] for f in facts] == ["parsed", "no text", "SyntaxError"] * 300 + ["parsed"] * 6
+
+
 def test_calls_with_one_short_id_stay_apart(spark, rows):
     """Everything that counts, lists, samples and joins calls goes by the whole digest."""
     from logharvest.operators import labels as L, sampling as W
