@@ -18,7 +18,10 @@ windows are fingerprinted and compared once, however many documents have them.
 
 Everything is DataFrame expressions; a hash's bits are counted in lanes of a
 long. The benchmark is never assumed small: whether its shingles are broadcast is
-the planner's choice by their stored size.
+the planner's choice by their stored size. That size says nothing of rows that are
+made of stored arrays (a window's shingles and blocks, an item's). So rows of
+windows, whose number grows with the documents, are never broadcast from an estimate,
+and rows of items only if those that there are take ``BROADCAST`` bytes or less.
 
 Words are runs of characters other than space and 0x09-0x0D, letters in lower
 case. Items of fewer than ``shingle`` words have no shingle and are never found.
@@ -39,6 +42,8 @@ SIMILARITY = 0.8
 # Shingle sets of similarity 0.8 differ in 9.7 of 64 bits on average, with a
 # standard deviation of 2.9: beyond 20 bits lie 3 in 10,000 of those at the very limit.
 RADIUS = 20
+# What an exploded benchmark may take in a broadcast; beyond that it is shuffled.
+BROADCAST = 16 << 20
 
 
 def _words(text: Column) -> Column:
@@ -98,6 +103,20 @@ def _blocks(fp: str, radius: int) -> Column:
     ])
 
 
+def _bounded(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` to be joined by a broadcast if their ``size`` in bytes allows it, else by sorting both sides."""
+    return F.broadcast(rows) if size <= BROADCAST else rows.hint("merge")
+
+
+def _item_bytes(items: DataFrame, shingle: int, radius: int) -> tuple[int, int]:
+    """About what the items' blocks and the items' shingles take in a hash table, keys and rows."""
+    # A shingle's text is there twice, and each word is in ``shingle`` of them.
+    texts = F.octet_length(F.array_join("words", " ")).cast("long") * (2 * shingle)
+    shingles = (F.col("size").cast("long") - (shingle - 1)) * 320
+    n, size = items.agg(F.count(F.lit(1)), F.sum(shingles + texts)).first()
+    return 200 * (radius + 1) * n, size or 0
+
+
 def _windows(docs: DataFrame, items: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``(key, windows)``: starts and sizes of windows that may be verified, per document."""
     shingles = stored(
@@ -138,7 +157,7 @@ def find_passages(
     rows = docs.select("doc_id", "text", row_key().alias("key")).join(windows, "key")
     rows = computed_once(rows, "__words", _words(whole("text"))).drop("text")
     rows = rows.select("key", "doc_id", "__words", F.explode("windows").alias("w")).select(
-        "key", "doc_id", "w.size", "w.start",
+        "key", "doc_id", "w.size", "w.start", F.col("w.width").alias("n_words"),
         F.slice("__words", F.col("w.start") + 1, F.col("w.width")).alias("words"),
     )
     content = F.array_join("words", " ")
@@ -153,10 +172,12 @@ def find_passages(
         distinct.select("window", "words", F.col("window.size").alias("size"), simhash("grams").alias("fp")),
         "window-fingerprints",
     )
+    block_bytes, shingle_bytes = _item_bytes(items, shingle, radius)
     indexed = items.select("item", "size", simhash("grams").alias("item_fp"))
+    indexed = _bounded(indexed.withColumn("k", F.explode(_blocks("item_fp", radius))), block_bytes)
     pairs = (
         distinct.select("window", "size", "fp", F.explode(_blocks("fp", radius)).alias("k"))
-        .join(indexed.withColumn("k", F.explode(_blocks("item_fp", radius))), ["size", "k"])
+        .join(indexed, ["size", "k"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
         .select("window", "item").distinct()
     )
@@ -170,17 +191,17 @@ def find_passages(
         return exploded.groupBy(name, f"{weight}_all", "s").agg(F.count(F.lit(1)).alias(weight))
 
     common = (
-        pairs.join(weights(distinct.where(F.size("words") >= shingle), "window", "w"), "window")
-        .join(weights(items, "item", "i"), ["item", "s"])
+        pairs.join(weights(distinct.where(F.size("words") >= shingle), "window", "w").hint("merge"), "window")
+        .join(_bounded(weights(items, "item", "i"), shingle_bytes), ["item", "s"])
         .groupBy("window", "item", "w_all", "i_all").agg(F.sum(F.least("w", "i")).alias("common"))
     )
     union = F.col("w_all") + F.col("i_all") - F.col("common")
     verified = common.select("window", "item.item_id", (F.col("common") / union).alias("similarity")).where(
         F.col("similarity") >= similarity
     )
-    best = F.max_by(F.struct("start", F.size("words").alias("n_words")), F.struct("similarity", -F.col("start")))
+    best = F.max_by(F.struct("start", "n_words"), F.struct("similarity", -F.col("start")))
     return (
-        rows.join(verified, "window").groupBy("key", "doc_id", "item_id")
+        rows.drop("words").hint("merge").join(verified, "window").groupBy("key", "doc_id", "item_id")
         .agg(F.max("similarity").alias("similarity"), best.alias("at"))
         .select("key", "doc_id", "item_id", "similarity", "at.start", "at.n_words")
     )

@@ -63,3 +63,46 @@ def clashing():
         return df.withColumns({c: F.lit(f"extra {c}") for c in names})
 
     return add
+
+
+@pytest.fixture(scope="session")
+def broadcast_rows():
+    """``broadcast_rows(df)``: rows of the largest table that a frame's run broadcast; it has to have run."""
+
+    def largest(df) -> int:
+        found, plans = 0, [df._jdf.queryExecution().executedPlan()]
+        while plans:
+            plan = plans.pop()
+            name = plan.nodeName()
+            if name == "BroadcastExchange":
+                found = max(found, plan.metrics().apply("numOutputRows").value())
+            if name == "AdaptiveSparkPlan":
+                plans.append(plan.executedPlan())
+            elif name.endswith("QueryStage"):
+                plans.append(plan.plan())
+            children = plan.children()
+            plans += [children.apply(i) for i in range(children.size())]
+        return found
+
+    return largest
+
+
+@pytest.fixture
+def broadcast_limit(spark):
+    """Bytes up to which the session broadcasts a table of estimated size, for one test."""
+    name, limit = "spark.sql.autoBroadcastJoinThreshold", 200_000
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    yield limit
+    spark.conf.set(name, before)
+
+
+@pytest.fixture(scope="session")
+def contaminated(prose):
+    """Rows with windows of their own around one of the items each, and the items, the last one without an id."""
+    items = [(i if i else None, " ".join(prose(40, 900 + i).split())) for i in (1, 2, 3, 4, 0)]
+    rows = []
+    for d in range(200):
+        a, b = prose(30, 3000 + d).split(), prose(30, 4000 + d).split()
+        rows.append((d, " ".join([*a, items[d % 5][1], *b])))
+    return rows, items

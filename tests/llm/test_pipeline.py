@@ -70,3 +70,15 @@ def test_run_on_a_driver_table(spark):
     out = P.run(spark, SMALL)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 50
+
+
+def test_decontamination_broadcasts_no_rows_of_windows(
+    spark, documents, contaminated, broadcast_rows, broadcast_limit, tmp_path
+):
+    rows, items = contaminated
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents([*rows, (1000, "clean words of no item at all")])
+    clean = P.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert [r.doc_id for r in clean.collect()] == [1000]
+    # A row takes far more than 64 bytes.
+    assert broadcast_rows(clean) * 64 <= broadcast_limit
