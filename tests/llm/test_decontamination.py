@@ -104,6 +104,28 @@ def test_messy_and_empty(spark, messy, clashing, prose):
     assert D.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_rows_of_windows_and_large_benchmarks_are_not_broadcast(
+    spark, documents, contaminated, broadcast_rows, broadcast_limit, monkeypatch
+):
+    rows, items = contaminated
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for large in (False, True):  # then the items' blocks and shingles are too many as well
+        if large:
+            monkeypatch.setattr(D, "BROADCAST", 0)
+        found = D.find_passages(documents(rows), bench)
+        assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found.collect()} == brute(rows, items)
+        # A row takes far more than 64 bytes.
+        assert broadcast_rows(found) * 64 <= broadcast_limit
+
+
+def test_bytes_of_items(spark, prose):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, prose(5, 1)), (3, "few")], "item_id long, text string")
+    items = D.benchmark_items(bench)
+    words = ["one two three four five six", " ".join(prose(5, 1).split())]
+    assert D._item_bytes(items, 5, 20) == (2 * 21 * 200, 3 * 320 + 10 * sum(map(len, words)))
+    assert D._item_bytes(items.limit(0), 5, 20) == (0, 0)
+
+
 def test_ngrams_of_short_arrays(spark):
     df = spark.createDataFrame([([1, 2],), ([],), ([1, 2, 3],)], "h array<long>")
     assert [len(r.g) for r in df.select(ngrams("h", 3).alias("g")).collect()] == [0, 0, 1]
